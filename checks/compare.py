@@ -10,7 +10,10 @@ from pathlib import Path
 import duckdb
 
 from checks.oracle import ORACLE
-from sluice.plans.catalog import CATALOG
+from sluice.plans.catalog import CATALOG as BATCH
+from sluice.streaming.catalog import CATALOG as STREAMS
+
+CATALOG = {**BATCH, **STREAMS}
 from sluice.session import build_session
 
 

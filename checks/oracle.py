@@ -403,3 +403,35 @@ SELECT variant, role, round(avg(s), 6) AS mean_use FROM sums GROUP BY variant, r
 }
 ORACLE["q3_strkey"] = ORACLE["q3"]
 ORACLE["q3_incremental_strkey"] = ORACLE["q3_incremental"]
+
+# Streams emit the windows and sessions that end by the final watermark: the highest time minus four seconds, in
+# milliseconds.
+CLOSED = """(SELECT date_trunc('millisecond', max("dateTime")) - INTERVAL '4' SECOND FROM bid)"""
+
+ORACLE |= {
+    "stream_q1": ORACLE["q1"],
+    "stream_q2": ORACLE["q2"],
+    "stream_q3": ORACLE["q3"],
+    "stream_q3_incremental": ORACLE["q3_incremental"],
+    "stream_q3_versions": ORACLE["q3_versions"],
+    "stream_q5": ORACLE["q5"] + f" WHERE h.endtime <= {CLOSED}",
+    "stream_q5_counts": ORACLE["q5_counts"] + f" WHERE endtime <= {CLOSED}",
+    "stream_q8": _with(AUCTION, PERSON) + """
+SELECT p.id, p.name, p.w AS stime
+FROM (SELECT DISTINCT id, name, time_bucket(INTERVAL '30' DAY, "dateTime", TIMESTAMP '1970-01-01') AS w
+      FROM person) p
+JOIN (SELECT DISTINCT seller, time_bucket(INTERVAL '30' DAY, "dateTime", TIMESTAMP '1970-01-01') AS w
+      FROM auction) a ON p.id = a.seller AND p.w = a.w
+WHERE p.w + INTERVAL '30' DAY <= least((SELECT max("dateTime") FROM person), (SELECT max("dateTime") FROM auction))
+                                 - INTERVAL '4' SECOND""",
+    "stream_q8_pairs": ORACLE["q8_pairs"],
+    "stream_q11": ORACLE["q11"] + f" WHERE endtime <= {CLOSED}",
+    "stream_q11_early": _with(BID, _sessions("bidder"), _firings(2)) + f"""
+SELECT bidder, bid_count FROM sessions WHERE endtime <= {CLOSED}
+UNION ALL
+SELECT bidder, CAST(k * 2 AS BIGINT) FROM sessions, range(1, (SELECT max(bid_count) FROM sessions) + 1) r(k)
+WHERE k * 2 <= bid_count""",
+    "stream_wordcount_running": f"""
+SELECT word, row_number() OVER (PARTITION BY word) AS num FROM (SELECT unnest({WORDS}) AS word FROM documents)""",
+    "stream_wordcount": ORACLE["wordcount_all"],
+}

@@ -24,6 +24,8 @@ STREAM_CONF = {
     # Sessions of one key are merged on the map side first, so a hot key shuffles few rows.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.streaming.multipleWatermarkPolicy": "min",
+    # Operators above a reused exchange do not see the watermark below it and would never close a window.
+    "spark.sql.exchange.reuse": "false",
 }
 
 
@@ -42,11 +44,8 @@ def build_session(app: str = "sluice", master: str | None = None, **conf: str) -
 def stream_session(spark: SparkSession) -> SparkSession:
     """A sibling session carrying the streaming settings; the caller's own session is left as it is."""
     sibling = spark.newSession()
-    inherited = ("spark.sql.shuffle.partitions", "spark.checkpoint.dir")
-    for key in inherited:
-        value = spark.conf.get(key, None)
-        if value is not None:
-            sibling.conf.set(key, value)
+    partitions = "spark.sql.shuffle.partitions"
+    sibling.conf.set(partitions, spark.conf.get(partitions))
     for key, value in STREAM_CONF.items():
         sibling.conf.set(key, value)
     return sibling
@@ -57,9 +56,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
     Only a local master may do without the setting; it then gets a temporary folder of its own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
