@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -57,16 +56,15 @@ class EarlySessions(StatefulProcessor):
             return None
         return -(-(min(s[1] for s in sessions) + self.gap) // 1000)
 
-    def _output(self, key, counts: list[int]) -> Iterator[pd.DataFrame]:
-        if counts:
-            yield pd.DataFrame({self.key: [key[0]] * len(counts), "bid_count": counts})
+    def _output(self, key, counts: list[int]) -> Iterator[Row]:
+        for count in counts:
+            yield Row(**{self.key: key[0], "bid_count": count})
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        sessions = [tuple(s) for s in self.open.get()] if self.open.exists() else []
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        sessions = [tuple(s) for s in self.open.get()]
         before = self._alarm(sessions)
-        spans = pd.concat(list(rows)).sort_values("first")
         reported = []
-        for first, last, num in zip(spans["first"].tolist(), spans["last"].tolist(), spans["num"].tolist()):
+        for first, last, num in sorted((row["first"], row["last"], row["num"]) for row in rows):
             touched = [s for s in sessions if first <= s[1] + self.gap and s[0] <= last + self.gap]
             sessions = [s for s in sessions if s not in touched]
             held, since = sum(s[2] for s in touched), sum(s[3] for s in touched)
@@ -77,9 +75,9 @@ class EarlySessions(StatefulProcessor):
         self._store(sessions, before)
         yield from self._output(key, reported)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
-        sessions = [tuple(s) for s in self.open.get()] if self.open.exists() else []
+        sessions = [tuple(s) for s in self.open.get()]
         ended = [s for s in sessions if s[1] + self.gap <= now]
         # The timer that went off is gone by itself.
         self._store([s for s in sessions if s not in ended], None)
@@ -100,7 +98,7 @@ def early_sessions_stream(bid: DataFrame, *, gap: str = "10 seconds", every: int
     spans = combine_spans(bid, key, TIME, micros)
     timed = spans.withColumn(TIME, F.timestamp_micros("last")).withWatermark(TIME, delay)
     output = T.StructType([bid.schema[key], T.StructField("bid_count", T.LongType())])
-    return timed.groupBy(key).transformWithStateInPandas(
+    return timed.groupBy(key).transformWithState(
         statefulProcessor=EarlySessions(key, micros, every), outputStructType=output, outputMode="Append",
         timeMode="EventTime",
     )

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -17,7 +17,17 @@ DETAILS = "name string, city string, state string"
 OUTPUT = f"{DETAILS}, id bigint"
 
 # A seller's auctions are spread over this many state keys, each holding a copy of the seller.
-SELLER_SALTS = 8
+SELLER_SALTS = 4
+
+
+def _event_order(row: Row) -> tuple:
+    """By time; persons before auctions; versions of one instant from least to greatest, nulls least."""
+    details = tuple((row[field] is not None, row[field] or "") for field in PERSON_FIELDS)
+    return row["at"], not row["is_person"], details
+
+
+def _emitted(seller: tuple, item: int) -> Row:
+    return Row(**dict(zip(PERSON_FIELDS, seller)), id=item)
 
 
 class EmitOnceJoin(StatefulProcessor):
@@ -30,37 +40,38 @@ class EmitOnceJoin(StatefulProcessor):
         self.seller = handle.getValueState("seller", DETAILS)
         self.waiting = handle.getListState("waiting", "id bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        is_person = batch["is_person"]
-        persons = batch[is_person].sort_values(["at", *PERSON_FIELDS], na_position="first")
-        persons = persons.drop_duplicates("at", keep="last")
-        items = batch[~is_person]
-        ids = items["id"].to_numpy(dtype="int64")
-        version = np.searchsorted(persons["at"].to_numpy(), items["at"].to_numpy(), side="right") - 1
-        details = persons[list(PERSON_FIELDS)].reset_index(drop=True)
-
-        known = version >= 0
-        if known.any():
-            yield details.iloc[version[known]].assign(id=ids[known])
-        early = ids[~known]
-        if self.seller.exists():
-            if len(early):
-                yield self._named(self.seller.get(), early)
-        elif len(details):
-            held = [row[0] for row in self.waiting.get()] if self.waiting.exists() else []
-            released = np.unique(np.concatenate([np.array(held, dtype="int64"), early]))
-            if len(released):
-                yield self._named(tuple(details.iloc[0]), released)
-            self.waiting.clear()
-        elif len(early):
-            self.waiting.appendList([(int(i),) for i in np.unique(early)])
-        if len(details):
-            self.seller.update(tuple(details.iloc[-1]))
-
-    @staticmethod
-    def _named(person, ids) -> pd.DataFrame:
-        return pd.DataFrame({**dict(zip(PERSON_FIELDS, person)), "id": ids})
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        seller = self.seller.get()
+        early = set()
+        for _, instant in groupby(sorted(rows, key=_event_order), key=itemgetter("at")):
+            newest = None
+            for row in instant:
+                if row["is_person"]:
+                    newest = tuple(row[field] for field in PERSON_FIELDS)
+                    continue
+                if newest is not None:
+                    yield from self._appear(seller, newest, early)
+                    seller, newest = newest, None
+                if seller is None:
+                    early.add(row["id"])
+                else:
+                    yield _emitted(seller, row["id"])
+            if newest is not None:
+                yield from self._appear(seller, newest, early)
+                seller = newest
+        if early:
+            self.waiting.appendList([(item,) for item in early])
+
+    def _appear(self, before, seller, early: set) -> Iterator[Row]:
+        """Keeps the seller's new details and, at the first appearance, lets go of what waits."""
+        self.seller.update(seller)
+        if before is None:
+            held = {row[0] for row in self.waiting.get()}
+            for item in held | early:
+                yield _emitted(seller, item)
+            early.clear()
+            if held:
+                self.waiting.clear()
 
     def close(self) -> None:
         pass
@@ -84,6 +95,6 @@ def emit_once_stream(auction: DataFrame, person: DataFrame, *, key_type: str = "
         F.unix_micros(TIME).alias("at"), F.lit(True).alias("is_person"), F.lit(0).cast("bigint").alias("id"),
         *PERSON_FIELDS,
     )
-    return items.unionByName(sellers).groupBy("seller", "salt").transformWithStateInPandas(
+    return items.unionByName(sellers).groupBy("seller", "salt").transformWithState(
         statefulProcessor=EmitOnceJoin(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
     )

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,11 +21,11 @@ class RunningCount(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.count = handle.getValueState("count", "num bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self.count.get()[0] if self.count.exists() else 0
-        after = before + int(sum(part["num"].sum() for part in rows))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = (self.count.get() or (0,))[0]
+        after = before + sum(row["num"] for row in rows)
         self.count.update((after,))
-        yield pd.DataFrame({self.key: [key[0]], "low": [before + 1], "high": [after]})
+        yield Row(**{self.key: key[0], "low": before + 1, "high": after})
 
     def close(self) -> None:
         pass
@@ -37,7 +36,7 @@ def running_count_stream(rows: DataFrame, key: str) -> DataFrame:
     schema = T.StructType([
         rows.schema[key], T.StructField("low", T.LongType()), T.StructField("high", T.LongType()),
     ])
-    ranges = combine_counts(rows, key).groupBy(key).transformWithStateInPandas(
+    ranges = combine_counts(rows, key).groupBy(key).transformWithState(
         statefulProcessor=RunningCount(key), outputStructType=schema, outputMode="Append", timeMode="None"
     )
     return ranges.select(key, F.explode(F.sequence("low", "high")).alias("num"))
