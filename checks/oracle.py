@@ -401,6 +401,7 @@ matched AS (
 sums AS (SELECT variant, role, ts, sum(value) AS s FROM matched GROUP BY variant, role, ts)""") + """
 SELECT variant, role, round(avg(s), 6) AS mean_use FROM sums GROUP BY variant, role""",
 }
+ORACLE["wordcount_rebalanced"] = ORACLE["wordcount_all"]
 ORACLE["q3_strkey"] = ORACLE["q3"]
 ORACLE["q3_incremental_strkey"] = ORACLE["q3_incremental"]
 

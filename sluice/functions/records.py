@@ -34,7 +34,7 @@ def quoted(name: str) -> str:
 
 def words(text) -> Column:
     """Lower-cased words of a text; anything outside ``[A-Za-z0-9_]`` separates."""
-    return F.filter(F.split(F.lower(text), r"\W+"), lambda word: F.length(word) > 0)
+    return F.array_remove(F.split(F.lower(text), r"\W+"), "")
 
 
 def record_bytes(key, value) -> Column:

@@ -48,9 +48,11 @@ def previous_row(
     """
     columns = list(dict.fromkeys([*order, *wanted.values()]))
     rows = df.withColumn("_slice", slice_by)
-    ends = rows.groupBy(*keys, "_slice").agg(
-        F.max_by(F.struct(*columns), F.struct(*order)).alias("_end")
-    )
+    if len(order) == 1:  # plain columns keep this a hash aggregation
+        last = F.struct(*[F.max_by(c, order[0]).alias(c) for c in columns])
+    else:
+        last = F.max_by(F.struct(*columns), F.struct(*order))
+    ends = rows.groupBy(*keys, "_slice").agg(last.alias("_end"))
     before = Window.partitionBy(*keys).orderBy("_slice")
     carried = ends.withColumn("_before", F.lag("_end").over(before)).where(F.col("_before").isNotNull())
     line = rows.withColumn(_CARRIED, F.lit(1)).unionByName(
@@ -75,22 +77,22 @@ def version_as_of(
     """
     rows = rows.withColumn("_slice", slice_by(time))
     versions = versions.select(*keys, time, "version", slice_by(time).alias("_slice"))
-    seen = versions.select(*keys, "_slice", F.col(time).alias("_at"), "version", F.lit(0).alias("_asked")).unionByName(
-        rows.select(*keys, "_slice", F.lit(1).alias("_asked")), allowMissingColumns=True
-    )
-    slices = seen.groupBy(*keys, "_slice").agg(
-        F.max_by("version", "_at").alias("_latest"),
-        F.min_by("version", "_at").alias("_earliest"),
-        F.max("_asked").alias("_asked"),
+    known_slices = versions.groupBy(*keys, "_slice").agg(
+        F.max_by("version", time).alias("_latest"), F.min_by("version", time).alias("_earliest")
     )
-    whole = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
+    asked_slices = rows.select(*keys, "_slice").distinct()
+    slices = known_slices.withColumn("_order", F.lit(1)).unionByName(
+        asked_slices.withColumn("_order", F.lit(0)), allowMissingColumns=True
     )
+    # An asked slice sorts before the versions of its own time, so all rows before it are from earlier slices.
+    in_order = Window.partitionBy(*keys).orderBy("_slice", "_order")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carried = slices.select(
-        *keys, "_slice", "_asked",
-        F.last("_latest", ignorenulls=True).over(_so_far(keys, "_slice")).alias("version"),
+        *keys, "_slice", "_order",
+        F.last("_latest", ignorenulls=True).over(earlier).alias("version"),
         F.first("_earliest", ignorenulls=True).over(whole).alias(first),
-    ).where("_asked = 1")
+    ).where("_order = 0")
     line = (
         rows.withColumn("_rank", F.lit(2))
         .unionByName(versions.withColumn("_rank", F.lit(1)), allowMissingColumns=True)

@@ -26,7 +26,13 @@ def hop_counts(df: DataFrame, keys: list[str], time: str, size: str, slide: str)
     if rest or steps < 2:
         return df.groupBy(F.window(time, size, slide).alias("w"), *keys).agg(F.count(F.lit(1)).alias("num"))
     panes = df.groupBy(F.window(time, slide).alias("pane"), *keys).agg(F.count(F.lit(1)).alias("num"))
-    return panes.groupBy(F.window("pane", size, slide).alias("w"), *keys).agg(F.sum("num").alias("num"))
+    if df.isStreaming:  # only Spark's own window carries the watermark on
+        hops = panes.select(F.window("pane", size, slide).alias("w"), *keys, "num")
+    else:
+        starts = [F.col("pane.start") - F.lit(k * duration(slide)) for k in range(steps)]
+        held_by = [F.struct(s.alias("start"), (s + interval(size)).alias("end")) for s in starts]
+        hops = panes.select(F.explode(F.array(*held_by)).alias("w"), *keys, "num")
+    return hops.groupBy("w", *keys).agg(F.sum("num").alias("num"))
 
 
 def session_counts(df: DataFrame, keys: list[str], time: str, gap: str) -> DataFrame:
@@ -44,7 +50,8 @@ def session_counts(df: DataFrame, keys: list[str], time: str, gap: str) -> DataF
     in_order = Window.partitionBy(*keys).orderBy("first")
     previous = F.lag("last").over(in_order)
     opens = F.when(previous.isNull() | (F.col("first") > previous + interval(gap)), 1).otherwise(0)
-    numbered = grains.withColumn("opens", opens).withColumn("session", F.sum("opens").over(in_order))
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = grains.withColumn("opens", opens).withColumn("session", F.sum("opens").over(so_far))
     return numbered.groupBy(*keys, "session").agg(
         F.min("first").alias("starttime"),
         (F.max("last") + interval(gap)).alias("endtime"),
@@ -63,8 +70,12 @@ def early_firings(sessions: DataFrame, every: int, count: str = "num") -> DataFr
 def peak_rows(counts: DataFrame, group: str = "w", count: str = "num") -> DataFrame:
     """The rows of every group whose count is the group's highest.
 
-    The highest counts are aggregated first and joined back, so no group is ever sorted in one task.
+    The highest counts are aggregated first and joined back, so no group is ever sorted in one task. In batch the join
+    is null-safe: it then adds no filters to one side only, and both sides read the same shuffled counts.
     """
     peaks = counts.groupBy(F.col(group).alias("peak_of")).agg(F.max(count).alias("peak"))
-    same = (F.col(group) == F.col("peak_of")) & (F.col(count) >= F.col("peak"))
+    if counts.isStreaming:
+        same = (F.col(group) == F.col("peak_of")) & (F.col(count) >= F.col("peak"))
+    else:
+        same = F.col(group).eqNullSafe(F.col("peak_of")) & F.col(count).eqNullSafe(F.col("peak"))
     return counts.join(peaks, same).drop("peak_of", "peak")

@@ -368,6 +368,12 @@ def wordcount_running(spark, folder):
     return wordcount.wordcount_running(table(spark, folder, "documents"), "doc_id", lines_per_slice=100)
 
 
+@query
+def wordcount_rebalanced(spark, folder):
+    """Lines dealt out over all cores before they are split."""
+    return wordcount.wordcount(table(spark, folder, "documents"), rebalance=spark.sparkContext.defaultParallelism)
+
+
 @query
 def words_per_line(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.size(words("text")).cast("bigint").alias("num"))
@@ -467,12 +473,12 @@ def role_usage(spark, folder):
 
 @query
 def variant_compare(spark, folder):
-    samples = metrics.after_warm_up(mapped.metric_samples(spark, folder), ["run_id", "variant"], warm_up="2 days")
-    states = samples.select("run_id").distinct().withColumn(
+    samples = mapped.metric_samples(spark, folder)
+    runs = samples.select("run_id").distinct().withColumn(
         "state", F.when(F.col("run_id") == 5, F.lit("failed")).otherwise(F.lit("executed"))
     )
-    usage = metrics.role_usage(metrics.executed_runs(samples, states))
-    compared = metrics.compare_variants(usage)
+    usage = metrics.role_usage(metrics.after_warm_up(samples, ["run_id", "variant"], warm_up="2 days"))
+    compared = metrics.compare_variants(metrics.executed_runs(usage, runs))
     rounded = [F.round(c, 6).alias(c) for c in ("plain", "pushed", "ratio")]
     return compared.select("query", "parallelism", "throughput", "role", *rounded)
 

@@ -145,7 +145,7 @@ def role_usage(samples: DataFrame) -> DataFrame:
 
 
 def executed_runs(samples: DataFrame, runs: DataFrame, variants: Sequence[str] = VARIANTS) -> DataFrame:
-    """Samples of executed runs that have samples in every variant."""
+    """Rows of executed runs that have rows in every variant; samples or, far fewer, their usage."""
     complete = (
         samples.where(F.col("variant").isin(*variants)).groupBy("run_id")
         .agg(F.count_distinct("variant").alias("_variants")).where(F.col("_variants") == len(variants))

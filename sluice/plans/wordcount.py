@@ -9,14 +9,17 @@ from ..functions.records import words
 from ..operators.timeline import running_sum
 
 
-def word_rows(lines: DataFrame, text: str = "text", *keep: str) -> DataFrame:
-    """One row per word."""
-    return lines.select(*keep, F.explode(words(text)).alias("word"))
+def word_rows(lines: DataFrame, text: str = "text", *, rebalance: int | None = None) -> DataFrame:
+    """One row per word. ``rebalance`` deals the lines out evenly first: for a few long files on many cores."""
+    lines = lines.select(text)
+    if rebalance:
+        lines = lines.repartition(rebalance)
+    return lines.select(F.explode(words(text)).alias("word"))
 
 
-def wordcount(lines: DataFrame, text: str = "text") -> DataFrame:
+def wordcount(lines: DataFrame, text: str = "text", *, rebalance: int | None = None) -> DataFrame:
     """Words and how often they occur; counted before they are shuffled."""
-    return word_rows(lines, text).groupBy("word").agg(F.count(F.lit(1)).alias("num"))
+    return word_rows(lines, text, rebalance=rebalance).groupBy("word").agg(F.count(F.lit(1)).alias("num"))
 
 
 def wordcount_two_inputs(one: DataFrame, two: DataFrame, text: str = "text") -> DataFrame:
