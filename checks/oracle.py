@@ -401,6 +401,48 @@ matched AS (
 sums AS (SELECT variant, role, ts, sum(value) AS s FROM matched GROUP BY variant, role, ts)""") + """
 SELECT variant, role, round(avg(s), 6) AS mean_use FROM sums GROUP BY variant, role""",
 }
+# Length of the JSON text of a record's fields: names, quotes, commas and braces included.
+FIELD_LENGTHS = {
+    "bid": {n: f'length(CAST("{n}" AS VARCHAR))' for n in ("auction", "bidder", "price")} | {
+        "dateTime": "28", "extra": """length(replace(extra, '"', '\\"')) + 2"""},
+    "auction": {n: f'length(CAST("{n}" AS VARCHAR))' for n in ("id", "initialBid", "reserve", "seller", "category")} | {
+        n: f'length("{n}") + 2' for n in ("itemName", "description", "extra")} | {"expires": "28", "dateTime": "28"},
+    "person": {"id": "length(CAST(id AS VARCHAR))", "dateTime": "28"} | {
+        n: f'length("{n}") + 2' for n in ("name", "emailAddress", "creditCard", "city", "state", "extra")},
+}
+KEYS = {"bid": "auction", "auction": "id", "person": "id"}
+
+
+def _savings(query: str, topic: str, names: str, kept: str = "TRUE") -> str:
+    lengths = FIELD_LENGTHS[topic]
+
+    def size(fields):
+        fixed = sum(len(f) + 3 for f in fields) + len(fields) - 1 + 2
+        return " + ".join([str(fixed), *(lengths[f] for f in fields)])
+
+    key = f"length(CAST({KEYS[topic]} AS VARCHAR))"
+    return f"""
+SELECT '{query}' AS query, '{topic}' AS topic, count(*) AS records, count(*) FILTER (kept) AS kept,
+       count(*) FILTER (NOT kept) AS removed, CAST(sum(r) AS BIGINT) AS bytes_read,
+       CAST(sum(CASE WHEN kept THEN s ELSE 0 END) AS BIGINT) AS bytes_sent,
+       CAST(sum(r) - sum(CASE WHEN kept THEN s ELSE 0 END) AS BIGINT) AS bytes_saved
+FROM (SELECT {kept} AS kept, {key} + {size(list(lengths))} AS r, {key} + {size(names.split())} AS s FROM {topic})"""
+
+
+ORACLE["pushdown_savings"] = _with(BID, AUCTION, PERSON) + "UNION ALL".join([
+    _savings("q0", "bid", "auction bidder price dateTime"),
+    _savings("q1", "bid", "auction bidder price dateTime extra"),
+    _savings("q2", "bid", "auction price", f"auction IN {HOT}"),
+    _savings("q3", "auction", "id seller", "category = 10"),
+    _savings("q3", "person", "id name city state", f"state IN ({LOCAL})"),
+    _savings("q5", "bid", "auction dateTime"),
+    _savings("q8", "person", "id name dateTime"),
+    _savings("q8", "auction", "seller dateTime"),
+    _savings("q11", "bid", "bidder dateTime"),
+])
+for _query in ("q0", "q1", "q2", "q3", "q5", "q8", "q11"):
+    ORACLE[f"pushed_{_query}"] = ORACLE[_query]
+ORACLE["unpushed_q3"], ORACLE["unpushed_q5"] = ORACLE["q3"], ORACLE["q5"]
 ORACLE["wordcount_rebalanced"] = ORACLE["wordcount_all"]
 ORACLE["q3_strkey"] = ORACLE["q3"]
 ORACLE["q3_incremental_strkey"] = ORACLE["q3_incremental"]

@@ -107,10 +107,13 @@ def scan_topic(
             rows = rows if test is None else rows.where(test)
     if patterns:
         rows = _matching(rows, patterns, on_malformed)
-    rows = expand(rows, "value", T.StructType([known[name] for name in wanted]), on_malformed)
-    for selection in exact:
-        kind = known[selection.attribute].dataType
-        rows = rows.where(F.col("row")[selection.attribute].isin([F.lit(v).cast(kind) for v in selection.values]))
+    def listed(row: Column) -> Column:
+        return _both([
+            row[s.attribute].isin([F.lit(v).cast(known[s.attribute].dataType) for v in s.values]) for s in exact
+        ])
+
+    parsed = T.StructType([known[name] for name in wanted])
+    rows = expand(rows, "value", parsed, on_malformed, listed if exact else None)
     output = criteria.projections or known
     return with_watermark(rows.select(*[F.col("row")[name].alias(name) for name in output]), watermark)
 
@@ -151,21 +154,38 @@ def _accepts(selection: Selection, attribute: Column) -> Column:
 
 def _matching(records: DataFrame, selections: list[Selection], on_malformed: str) -> DataFrame:
     attributes = list(dict.fromkeys(s.attribute for s in selections))
-    seen = expand(records, "value", _variant_schema(attributes), on_malformed)
-    return seen.where(_both([_accepts(s, F.col("row")[s.attribute]) for s in selections])).drop("row")
+    return expand(records, "value", _variant_schema(attributes), on_malformed, _test(selections)).drop("row")
+
+
+def _test(selections):
+    return (lambda row: _both([_accepts(s, row[s.attribute]) for s in selections])) if selections else None
+
+
+def _output(criteria: TopicCriteria) -> Column:
+    if not criteria.projections:
+        return F.col("value")
+    return F.to_json(F.struct(*[F.col("row")[n].alias(n) for n in criteria.projections]), JSON_WRITE)
+
+
+def _kept(records: DataFrame, criteria: TopicCriteria, on_malformed: str) -> DataFrame:
+    """The matching records with their projected values. No schema needed."""
+    rows = records.where(F.col("value").isNotNull())
+    if criteria.filters:
+        schema = _variant_schema(criteria.attributes())
+        rows = expand(rows, "value", schema, on_malformed, _test(criteria.selections))
+        rows = rows.withColumn("value", _output(criteria))
+    return rows.select(*records.columns)
 
 
 def _judged(records: DataFrame, criteria: TopicCriteria, on_malformed: str) -> DataFrame:
-    """Records with a value, plus ``kept`` and the projected ``output`` text. No schema needed."""
+    """All records with a value, plus ``kept`` and the projected ``output``."""
     rows = records.where(F.col("value").isNotNull())
     if not criteria.filters:
         return rows.select("*", F.lit(True).alias("kept"), F.col("value").alias("output"))
     rows = expand(rows, "value", _variant_schema(criteria.attributes()), on_malformed)
-    kept = _both([_accepts(s, F.col("row")[s.attribute]) for s in criteria.selections])
-    output = F.col("value")
-    if criteria.projections:
-        output = F.to_json(F.struct(*[F.col("row")[n].alias(n) for n in criteria.projections]), JSON_WRITE)
-    return rows.select(*records.columns, kept.alias("kept"), output.alias("output"))
+    test = _test(criteria.selections)
+    kept = test(F.col("row")) if test else F.lit(True)
+    return rows.select(*records.columns, kept.alias("kept"), _output(criteria).alias("output"))
 
 
 def scan_records(
@@ -183,15 +203,14 @@ def scan_records(
     """
     if not criteria.filters and not criteria.partition_keys:
         return records
-    judged = _judged(records, criteria, on_malformed)
-    kept = judged.where("kept").withColumn("value", F.col("output")).select(*records.columns)
+    kept = _kept(records, criteria, on_malformed)
     if not tail_marker:
         return kept
     if records.isStreaming:
         raise ValueError("tail markers are for batch scans; a stream keeps its own offsets")
     place = ("topic", "partition")
     ends = records.groupBy(*place).agg(F.max("offset").alias("offset"))
-    kept_ends = judged.where("kept").groupBy(*[F.col(p).alias(f"kept_{p}") for p in place]).agg(
+    kept_ends = kept.groupBy(*[F.col(p).alias(f"kept_{p}") for p in place]).agg(
         F.max("offset").alias("kept_offset")
     )
     same_place = _both([F.col(p).eqNullSafe(F.col(f"kept_{p}")) for p in place])

@@ -1,3 +1,3 @@
-from . import auctions, metrics, wordcount
+from . import auctions, metrics, pushdown, wordcount
 
-__all__ = ["auctions", "metrics", "wordcount"]
+__all__ = ["auctions", "metrics", "pushdown", "wordcount"]

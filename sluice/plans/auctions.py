@@ -63,11 +63,15 @@ def q3(auction: DataFrame, person: DataFrame, *, states: Sequence[str] = LOCAL_S
     On streams both sides are kept as state for good, as the query asks. In batch a hot seller is split by AQE's skew
     join.
     """
-    sellers = person.where(F.col("state").isin(*states)).select(
-        F.col("id").cast(key_type).alias("person_id"), "name", "city", "state"
-    )
-    items = auction.where(F.col("category") == category).select(F.col("seller").cast(key_type).alias("seller"), "id")
-    return items.join(sellers, F.col("seller") == F.col("person_id")).select("name", "city", "state", "id")
+    items = auction.where(F.col("category") == category)
+    return join_sellers(items, person.where(F.col("state").isin(*states)), key_type=key_type)
+
+
+def join_sellers(items: DataFrame, sellers: DataFrame, *, key_type: str = "bigint") -> DataFrame:
+    """Items with their sellers' details."""
+    named = sellers.select(F.col("id").cast(key_type).alias("person_id"), "name", "city", "state")
+    sold = items.select(F.col("seller").cast(key_type).alias("seller"), "id")
+    return sold.join(named, F.col("seller") == F.col("person_id")).select("name", "city", "state", "id")
 
 
 def q3_incremental(auction: DataFrame, person: DataFrame, *, states: Sequence[str] = LOCAL_STATES,

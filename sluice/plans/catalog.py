@@ -13,7 +13,7 @@ from ..operators.windows import hop_counts
 from ..schemas import TIME, topic_schema
 from ..sources import mapped, replay, sinks, topics
 from ..sources.mapped import HOT_AUCTIONS, table
-from . import auctions, metrics, wordcount
+from . import auctions, metrics, pushdown, wordcount
 
 # The stored events are minutes apart, so windows are longer than the queries' own seconds.
 HOP = {"size": "10 hours", "slide": "2 hours"}
@@ -223,6 +223,37 @@ def scan_savings(spark, folder):
     ))
 
 
+def _records(spark, folder):
+    return {
+        "bid": mapped.bid_records(spark, folder),
+        "auction": mapped.auction_records(spark, folder),
+        "person": mapped.person_records(spark, folder),
+    }
+
+
+_OVER_TOPICS = {"q0": {}, "q1": {}, "q2": {}, "q3": {}, "q5": HOP, "q8": {"size": TUMBLE}, "q11": {"gap": GAP}}
+
+
+def _over_topics(name, parameters, pushed):
+    def run(spark, folder):
+        return pushdown.over_topics(name, _records(spark, folder), pushdown=pushed, on_malformed="drop", **parameters)
+
+    run.__name__ = f"{'pushed' if pushed else 'unpushed'}_{name}"
+    return run
+
+
+for _name, _parameters in _OVER_TOPICS.items():
+    query(_over_topics(_name, _parameters, True))
+query(_over_topics("q5", HOP, False))
+query(_over_topics("q3", {}, False))
+
+
+@query
+def pushdown_savings(spark, folder):
+    """Bytes that the pushdown of every query saves."""
+    return pushdown.savings(_records(spark, folder))
+
+
 @query
 def scan_missing_attribute(spark, folder):
     """A pattern on an attribute that only some records have: the others pass."""

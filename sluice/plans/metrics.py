@@ -97,7 +97,8 @@ def after_warm_up(samples: DataFrame, run: Sequence[str] = ("run_id",), *, time:
     instants = warm.select(*run, time).distinct()
     cut = instants.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= samples_cut)
     ends = cut.groupBy(*run).agg(F.max(time).alias("_cut"))
-    return warm.join(ends, list(run)).where(F.col(time) > F.col("_cut")).drop("_cut")
+    # Whatever is after the cut instants is after the warm-up time too.
+    return samples.join(ends, list(run)).where(F.col(time) > F.col("_cut")).drop("_cut")
 
 
 def expected_throughput(query, throughput, parallelism, ratio: float = 1.0) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,18 +86,30 @@ def parse(records: DataFrame, schema: T.StructType, on_malformed: str = "fail")
     return expand(rows, "value", schema, on_malformed).select(*[F.col(f"row.{f.name}") for f in schema.fields])
 
 
-def expand(records: DataFrame, value: str, schema: T.StructType, on_malformed: str) -> DataFrame:
-    """The records with a ``row`` struct parsed from their JSON value."""
+def expand(
+    records: DataFrame,
+    value: str,
+    schema: T.StructType,
+    on_malformed: str,
+    keep: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """The records with a ``row`` struct parsed from their JSON value; ``keep`` tests the struct.
+
+    The test sits in a generator and not in a filter, which Spark would move below the parsing by parsing twice.
+    """
     if on_malformed not in ON_MALFORMED:
         raise ValueError(f"on_malformed {on_malformed!r} is not one of {ON_MALFORMED}")
-    if on_malformed == "fail":
-        return records.withColumn("row", F.from_json(value, schema, {"mode": "FAILFAST"}))
-    if on_malformed == "null":
-        return records.withColumn("row", F.from_json(value, schema, {"mode": "PERMISSIVE"}))
-    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = records.withColumn("row", F.from_json(value, with_corrupt, options))
-    return parsed.where(F.col(f"row.{CORRUPT}").isNull())
+    options = {"mode": "FAILFAST" if on_malformed == "fail" else "PERMISSIVE"}
+    tests = [keep] if keep else []
+    if on_malformed == "drop":
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+        options["columnNameOfCorruptRecord"] = CORRUPT
+        tests.append(lambda row: row[CORRUPT].isNull())
+    parsed = F.from_json(value, schema, options)
+    if not tests:
+        return records.withColumn("row", parsed)
+    passed = F.filter(F.array(parsed), lambda row: reduce(lambda a, b: a & b, [test(row) for test in tests]))
+    return records.withColumn("row", F.explode(passed))
 
 
 def typed_topic(
