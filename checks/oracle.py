@@ -241,6 +241,10 @@ SELECT auction, price FROM bid
 WHERE auction % 1007 = 0 OR auction % 1020 = 0 OR auction % 2001 = 0 OR auction % 2019 = 0 OR auction % 2087 = 0""",
     "q3": _with(AUCTION, PERSON) + f"""
 SELECT p.name, p.city, p.state, a.id FROM auction a JOIN person p ON a.seller = p.id
+WHERE a.category = 10 AND p.state IN ({LOCAL})""",
+    "q3_within": _with(AUCTION, PERSON) + f"""
+SELECT p.name, p.city, p.state, a.id FROM auction a JOIN person p ON a.seller = p.id
+  AND a."dateTime" BETWEEN p."dateTime" - INTERVAL '365' DAY AND p."dateTime" + INTERVAL '365' DAY
 WHERE a.category = 10 AND p.state IN ({LOCAL})""",
     "q3_incremental": _with(AUCTION, PERSON, _emit_once(LOCAL)) + "SELECT name, city, state, id FROM emitted",
     "q3_versions": _with(AUCTION, MOVES, _emit_once(LOCAL + ", 'WA'")) + "SELECT name, city, state, id FROM emitted",
@@ -455,6 +459,7 @@ ORACLE |= {
     "stream_q1": ORACLE["q1"],
     "stream_q2": ORACLE["q2"],
     "stream_q3": ORACLE["q3"],
+    "stream_q3_within": ORACLE["q3_within"],
     "stream_q3_incremental": ORACLE["q3_incremental"],
     "stream_q3_versions": ORACLE["q3_versions"],
     "stream_q5": ORACLE["q5"] + f" WHERE h.endtime <= {CLOSED}",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.timing import time_slice
 from ..schemas import TIME
 from .timeline import version_as_of
+from .windows import count_up
 
 PERSON_FIELDS = ("name", "city", "state")
 
@@ -22,18 +23,21 @@ def emit_once(auction: DataFrame, person: DataFrame, *, key_type: str = "bigint"
     versions = person.groupBy(F.col("id").cast(key_type).alias("seller"), TIME).agg(
         F.max(F.struct(*PERSON_FIELDS)).alias("version")
     )
-    rows = auction.select(F.col("seller").cast(key_type).alias("seller"), "id", TIME)
+    # Copies of an auction become one counted row before anything is put in order.
+    rows = auction.groupBy(F.col("seller").cast(key_type).alias("seller"), "id", TIME).agg(
+        F.count(F.lit(1)).alias("copies")
+    )
     matched = version_as_of(
         rows, versions, ["seller"], TIME, lambda time: time_slice(time, time_slices), "known", "first"
     ).where(F.col("first").isNotNull())
     waited = F.col("known").isNull()
     emitted = (
-        matched.select("seller", "id", waited.alias("waited"), F.coalesce("known", "first").alias("person"))
+        matched.select("seller", "id", "copies", waited.alias("waited"), F.coalesce("known", "first").alias("person"))
         .groupBy("seller", "id", "waited", "person")
-        .agg(F.count(F.lit(1)).alias("copies"))
+        .agg(F.sum("copies").alias("copies"))
     )
     # Waiting ids are a set; known sellers emit every copy.
-    copies = F.when(F.col("waited"), F.lit(1)).otherwise(F.col("copies")).cast("int")
-    return emitted.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(
+    copies = F.when(F.col("waited"), F.lit(1)).otherwise(F.col("copies")).cast("bigint")
+    return count_up(emitted, F.lit(1).cast("bigint"), copies, "_copy").select(
         *[F.col("person")[f].alias(f) for f in PERSON_FIELDS], "id"
     )

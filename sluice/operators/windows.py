@@ -6,7 +6,7 @@ alone, so a key that holds a third of all rows reaches a task only as one row pe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timing import duration, interval
@@ -61,10 +61,26 @@ def session_counts(df: DataFrame, keys: list[str], time: str, gap: str) -> DataF
 
 def early_firings(sessions: DataFrame, every: int, count: str = "num") -> DataFrame:
     """The counts a session reports: every ``every`` rows while it grows, and its final count when it ends."""
-    n = F.col(count)
-    step = F.lit(every).cast("bigint")
-    growing = F.when(n >= step, F.sequence(step, n, step)).otherwise(F.array().cast("array<bigint>"))
-    return sessions.withColumn(count, F.explode(F.concat(growing, F.array(n))))
+    n, step = F.col(count), F.lit(every).cast("bigint")
+    growing = F.call_function("div", n, step)
+    # One more firing than steps: the final one.
+    fired = count_up(sessions, F.lit(1).cast("bigint"), growing + 1, "_firing")
+    return fired.withColumn(count, F.least(n, F.col("_firing") * step)).drop("_firing")
+
+
+# Numbers that one array holds while rows are multiplied.
+BLOCK = 10_000
+
+
+def count_up(df: DataFrame, low: Column, high: Column, name: str) -> DataFrame:
+    """One row per number from ``low`` to ``high``, in two steps so that no array grows with the range."""
+    blocks = F.call_function("div", high - low, F.lit(BLOCK))
+    started = df.select("*", low.alias("_low"), high.alias("_high")).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks))
+    )
+    first = F.col("_low") + F.col("_block") * BLOCK
+    last = F.least(first + (BLOCK - 1), F.col("_high"))
+    return started.withColumn(name, F.explode(F.sequence(first, last))).drop("_low", "_high", "_block")
 
 
 def peak_rows(counts: DataFrame, group: str = "w", count: str = "num") -> DataFrame:

@@ -8,6 +8,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timing import interval
 from ..operators.emit_once import emit_once
 from ..operators.windows import early_firings, hop_counts, peak_rows, session_counts
 from ..schemas import TIME, result_schema
@@ -57,21 +58,26 @@ def q2_modulo(bid: DataFrame, divisors: Sequence[int] = HOT_AUCTIONS) -> DataFra
 
 
 def q3(auction: DataFrame, person: DataFrame, *, states: Sequence[str] = LOCAL_STATES,
-       category: int = LOCAL_CATEGORY, key_type: str = "bigint") -> DataFrame:
+       category: int = LOCAL_CATEGORY, key_type: str = "bigint", within: str | None = None) -> DataFrame:
     """Who sells locally in a category, over all history.
 
-    On streams both sides are kept as state for good, as the query asks. In batch a hot seller is split by AQE's skew
-    join.
+    On streams both sides are kept as state for good, as the query asks, unless ``within`` bounds how far apart the
+    person and the auction may appear. In batch a hot seller is split by AQE's skew join.
     """
     items = auction.where(F.col("category") == category)
-    return join_sellers(items, person.where(F.col("state").isin(*states)), key_type=key_type)
-
-
-def join_sellers(items: DataFrame, sellers: DataFrame, *, key_type: str = "bigint") -> DataFrame:
-    """Items with their sellers' details."""
-    named = sellers.select(F.col("id").cast(key_type).alias("person_id"), "name", "city", "state")
-    sold = items.select(F.col("seller").cast(key_type).alias("seller"), "id")
-    return sold.join(named, F.col("seller") == F.col("person_id")).select("name", "city", "state", "id")
+    return join_sellers(items, person.where(F.col("state").isin(*states)), key_type=key_type, within=within)
+
+
+def join_sellers(items: DataFrame, sellers: DataFrame, *, key_type: str = "bigint",
+                 within: str | None = None) -> DataFrame:
+    """Items with their sellers' details; ``within`` needs the time on both sides."""
+    times = [] if within is None else [F.col(TIME).alias("seen")]
+    named = sellers.select(F.col("id").cast(key_type).alias("person_id"), "name", "city", "state", *times)
+    sold = items.select(F.col("seller").cast(key_type).alias("seller"), "id", *([TIME] if within else []))
+    same = F.col("seller") == F.col("person_id")
+    if within is not None:
+        same &= (F.col(TIME) >= F.col("seen") - interval(within)) & (F.col(TIME) <= F.col("seen") + interval(within))
+    return sold.join(named, same).select("name", "city", "state", "id")
 
 
 def q3_incremental(auction: DataFrame, person: DataFrame, *, states: Sequence[str] = LOCAL_STATES,

@@ -81,6 +81,12 @@ def q3_strkey(spark, folder):
     return auctions.q3(mapped.auction(spark, folder), mapped.person(spark, folder), key_type="string")
 
 
+@query
+def q3_within(spark, folder):
+    """Auctions within a year of the seller's appearance."""
+    return auctions.q3(mapped.auction(spark, folder), mapped.person(spark, folder), within="365 days")
+
+
 @query
 def q3_incremental(spark, folder):
     return auctions.q3_incremental(mapped.auction(spark, folder), mapped.person(spark, folder), time_slices=SLICES)

@@ -44,8 +44,10 @@ def build_session(app: str = "sluice", master: str | None = None, **conf: str) -
 def stream_session(spark: SparkSession) -> SparkSession:
     """A sibling session carrying the streaming settings; the caller's own session is left as it is."""
     sibling = spark.newSession()
-    partitions = "spark.sql.shuffle.partitions"
-    sibling.conf.set(partitions, spark.conf.get(partitions))
+    local = spark.sparkContext.master.startswith("local")
+    # The number of state partitions is fixed when a query first starts.
+    partitions = spark.sparkContext.defaultParallelism if local else spark.conf.get("spark.sql.shuffle.partitions")
+    sibling.conf.set("spark.sql.shuffle.partitions", partitions)
     for key, value in STREAM_CONF.items():
         sibling.conf.set(key, value)
     return sibling

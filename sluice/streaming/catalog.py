@@ -29,9 +29,9 @@ def stream_query(run):
 
     def execute(spark: SparkSession, folder: str) -> DataFrame:
         out = shared_folder(spark, run.__name__)
-        result = run(stream_session(spark), folder, out)
+        result = jobs.zoneless(run(stream_session(spark), folder, out))
         jobs.run_available(result, out)
-        return jobs.zoneless(jobs.written(spark, out, result.schema))
+        return jobs.written(spark, out, result.schema)
 
     execute.__name__, execute.__doc__ = run.__name__, run.__doc__
     CATALOG[run.__name__] = execute
@@ -79,6 +79,12 @@ def stream_q3(spark, folder, out):
     return auctions.q3(_auction(spark, folder), _person(spark, folder, out))
 
 
+@stream_query
+def stream_q3_within(spark, folder, out):
+    """With a time bound, so that old rows leave the state."""
+    return auctions.q3(_auction(spark, folder), _person(spark, folder, out), within="365 days")
+
+
 @stream_query
 def stream_q3_incremental(spark, folder, out):
     person = _person(spark, folder, out).where(F.col("state").isin(*auctions.LOCAL_STATES))

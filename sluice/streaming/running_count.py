@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.windows import count_up
 from .precombine import combine_counts
 
 
@@ -39,4 +40,4 @@ def running_count_stream(rows: DataFrame, key: str) -> DataFrame:
     ranges = combine_counts(rows, key).groupBy(key).transformWithState(
         statefulProcessor=RunningCount(key), outputStructType=schema, outputMode="Append", timeMode="None"
     )
-    return ranges.select(key, F.explode(F.sequence("low", "high")).alias("num"))
+    return count_up(ranges, F.col("low"), F.col("high"), "num").select(key, "num")

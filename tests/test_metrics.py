@@ -34,10 +34,10 @@ def test_wider_rate_window(spark):
 
 
 def test_series_names(spark):
-    labels = ['{name="test_taskmanager.2.abc123"}', '{name="test_kafka-edge1.1.x.y"}', '{name="test_plain"}', "other"]
+    labels = ['{name="test_taskmanager.2.abc123"}', '{name="test_storage-1.1.x.y"}', '{name="test_plain"}', "other"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(labels)], "i int, label string")
     got = [r.series for r in metrics.rename_series(df, "cpu").orderBy("i").collect()]
-    assert got == ["cpu_taskmanager.2", "cpu_kafka-edge1.1", labels[2], "other"]
+    assert got == ["cpu_taskmanager.2", "cpu_storage-1.1", labels[2], "other"]
 
 
 def test_totals_and_side_by_side(spark, collected):

@@ -108,12 +108,13 @@ def test_replay_of_a_table_stops_at_the_cap(spark, folder):
 def test_replay_of_files(spark, folder):
     spark.range(30).repartition(3).write.parquet(f"{folder}/in")
     stream = stream_session(spark)
-    df = replay.replay_files(stream, f"{folder}/in", T.StructType().add("id", T.LongType()))
+    schema = T.StructType().add("id", T.LongType())
+    df = replay.replay_files(stream, f"{folder}/in", schema, position="id", cap=21)
     query = (df.writeStream.format("parquet").option("path", f"{folder}/rows")
              .option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start())
     query.awaitTermination()
     assert len(query.recentProgress) == 3
-    assert stream.read.parquet(f"{folder}/rows").count() == 30
+    assert stream.read.parquet(f"{folder}/rows").count() == 21
 
 
 def test_latency_report(spark, folder):

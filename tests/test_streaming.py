@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.operators.scan import Selection, TopicCriteria, carries_time, scan_topic
-from sluice.plans import auctions, wordcount
+from sluice.operators.scan import Selection, TopicCriteria, carries_time, observed_scan, scan_topic
+from sluice.plans import auctions, pushdown, wordcount
 from sluice.schemas import topic_schema
 from sluice.session import stream_session
 from sluice.sources import sinks, topics
@@ -250,6 +250,25 @@ def test_scan_on_a_stream(bids, folder, collected):
     assert "EventTimeWatermark" not in dropped._jdf.queryExecution().logical().toString()
 
 
+def test_scan_totals_of_a_stream(bids, folder):
+    criteria = TopicCriteria(selections=(Selection("auction", (1, 2)),), projections=("auction",))
+    records = topics.file_records(stream_session(bids.spark), bids.path, stream=True, files_per_trigger=2)
+    query = sinks.discard_writer(observed_scan(records, criteria), f"{folder}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    totals = [p.observedMetrics["scan"] for p in query.recentProgress if "scan" in p.observedMetrics]
+    want = bids.batch().where("auction in (1, 2)").count()
+    assert len(totals) == 2
+    assert sum(t["records"] for t in totals) == 181 and sum(t["kept"] for t in totals) == want
+    assert all(t["bytes_sent"] < t["bytes_read"] for t in totals)
+
+
+def test_queries_over_topics_on_streams(bids, folder, collected):
+    records = topics.file_records(stream_session(bids.spark), bids.path, stream=True, files_per_trigger=2)
+    got = pushdown.over_topics("q11", {"bid": records}, gap="1 second")
+    want = auctions.q11(bids.batch().where("bidder > 0"), gap="1 second")
+    assert collected(run(got, folder)) == collected(want)
+
+
 @pytest.fixture
 def lines(spark, folder):
     path = f"{folder}/lines"

@@ -72,6 +72,7 @@ def test_emit_once(spark, collected):
         (100, 1, at(1)), (100, 1, at(2)), (101, 1, at(3)),   # wait; 100 waits once
         (102, 1, at(10)), (103, 1, at(15)), (103, 1, at(16)),  # known; both copies come
         (104, 1, at(20)), (105, 1, at(99999)),                # the greatest version of the instant
+        (108, 2, at(6)), (108, 2, at(6)),                     # copies of one instant come both
         (106, 2, at(5)), (107, 3, at(1)),                     # a tie goes to the person; nobody sells 107
     ]
     got = collected(emit_once(
@@ -79,7 +80,8 @@ def test_emit_once(spark, collected):
     ).select("id", "name", F.coalesce("city", F.lit("-")).alias("city")))
     assert got == [
         (100, "ann", "x"), (101, "ann", "x"), (102, "ann", "x"), (103, "ann", "x"), (103, "ann", "x"),
-        (104, "ann", "z"), (105, "ann", "z"), (106, "bob", "-"),
+        (104, "ann", "z"), (105, "ann", "z"), (106, "bob", "-"), (108, "bob", "-"),
+        (108, "bob", "-"),
     ]
 
 

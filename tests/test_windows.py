@@ -3,7 +3,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.operators.windows import early_firings, hop_counts, session_counts
+from sluice.operators import windows
+from sluice.operators.windows import count_up, early_firings, hop_counts, session_counts
 from sluice.plans import auctions
 
 START = datetime(2024, 1, 1)
@@ -47,6 +48,13 @@ def test_early_firings(spark, count, counts):
     assert sorted(r.num for r in early_firings(df, 3).collect()) == counts
 
 
+def test_count_up_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(windows, "BLOCK", 3)
+    df = spark.createDataFrame([(1, 1, 1), (2, 5, 13)], "i int, low bigint, high bigint")
+    got = sorted((r.i, r.n) for r in count_up(df, F.col("low"), F.col("high"), "n").collect())
+    assert got == [(1, 1)] + [(2, n) for n in range(5, 14)]
+
+
 def test_hot_items_keep_ties(spark, collected):
     bids = [(1, 0), (1, 1), (2, 0), (2, 1), (3, 1)]
     df = spark.createDataFrame(
