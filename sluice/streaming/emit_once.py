@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.emit_once import PERSON_FIELDS
+from ..operators.windows import count_up
 from ..schemas import TIME
+from .precombine import combine_copies
 
 DETAILS = "name string, city string, state string"
-OUTPUT = f"{DETAILS}, id bigint"
+OUTPUT = f"{DETAILS}, id bigint, copies bigint"
 
 # A seller's auctions are spread over this many state keys, each holding a copy of the seller.
 SELLER_SALTS = 4
@@ -26,8 +28,8 @@ def _event_order(row: Row) -> tuple:
     return row["at"], not row["is_person"], details
 
 
-def _emitted(seller: tuple, item: int) -> Row:
-    return Row(**dict(zip(PERSON_FIELDS, seller)), id=item)
+def _emitted(seller: tuple, item: int, copies: int = 1) -> Row:
+    return Row(**dict(zip(PERSON_FIELDS, seller)), id=item, copies=copies)
 
 
 class EmitOnceJoin(StatefulProcessor):
@@ -55,7 +57,7 @@ class EmitOnceJoin(StatefulProcessor):
                 if seller is None:
                     early.add(row["id"])
                 else:
-                    yield _emitted(seller, row["id"])
+                    yield _emitted(seller, row["id"], row["copies"])
             if newest is not None:
                 yield from self._appear(seller, newest, early)
                 seller = newest
@@ -81,20 +83,25 @@ def emit_once_stream(auction: DataFrame, person: DataFrame, *, key_type: str = "
                      salts: int = SELLER_SALTS) -> DataFrame:
     """``name, city, state, id``, each auction once.
 
-    An auction id always falls on the same salt, so the waiting ids stay a set; every salt knows the seller.
+    An auction id always falls on the same salt, so the waiting ids stay a set; every salt knows the seller. Copies of
+    an auction are counted per task before they are shuffled.
     """
-    items = auction.select(
+    items = combine_copies(auction.select(
         F.col("seller").cast(key_type).alias("seller"),
         F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"),
-        F.unix_micros(TIME).alias("at"), F.lit(False).alias("is_person"), "id",
+        F.unix_micros(TIME).alias("at"), "id",
+    )).select(
+        "seller", "salt", "at", "id", "copies", F.lit(False).alias("is_person"),
         *[F.lit(None).cast("string").alias(f) for f in PERSON_FIELDS],
     )
     sellers = person.select(
         F.col("id").cast(key_type).alias("seller"),
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-        F.unix_micros(TIME).alias("at"), F.lit(True).alias("is_person"), F.lit(0).cast("bigint").alias("id"),
+        F.unix_micros(TIME).alias("at"), F.lit(0).cast("bigint").alias("id"),
+        F.lit(1).cast("bigint").alias("copies"), F.lit(True).alias("is_person"),
         *PERSON_FIELDS,
     )
-    return items.unionByName(sellers).groupBy("seller", "salt").transformWithState(
+    emitted = items.unionByName(sellers).groupBy("seller", "salt").transformWithState(
         statefulProcessor=EmitOnceJoin(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
     )
+    return count_up(emitted, F.lit(1).cast("bigint"), F.col("copies"), "_copy").select(*PERSON_FIELDS, "id")

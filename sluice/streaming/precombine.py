@@ -50,6 +50,18 @@ def combine_counts(rows: DataFrame, key: str) -> DataFrame:
     return ones.mapInArrow(_folded(combine), schema)
 
 
+def combine_copies(rows: DataFrame) -> DataFrame:
+    """Equal rows of a task as one, with their number in ``copies``."""
+    columns = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("copies", T.LongType())])
+
+    def combine(table: pa.Table) -> pa.Table:
+        counted = table.group_by(columns, use_threads=False).aggregate([("copies", "sum")])
+        return counted.rename_columns({"copies_sum": "copies"}).select([*columns, "copies"])
+
+    return rows.withColumn("copies", F.lit(1).cast("bigint")).mapInArrow(_folded(combine), schema)
+
+
 def combine_spans(rows: DataFrame, key: str, time: str, width_micros: int) -> DataFrame:
     """``key, first, last, num``: rows per key, task and fixed-width piece of time.
 
