@@ -21,6 +21,7 @@ from sluice.llm.common import ascii_lower, written
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 MIN_SUPPORT = 0.002
+MIN_PAGES = 20  # a rule rests on this many labelled pages at least, however few there are
 MIN_CONFIDENCE = 0.9
 MAX_TOKENS = 3
 BLOCK, ALLOW = "verdict=block", "verdict=allow"
@@ -59,11 +60,12 @@ def tokens_of(url: Column) -> Column:
 
 
 def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-                max_tokens: int = MAX_TOKENS) -> DataFrame:
+                max_tokens: int = MAX_TOKENS, min_pages: int = MIN_PAGES) -> DataFrame:
     """``labelled`` has ``url`` and ``block`` (boolean). Gives ``rule, tokens, rarest, confidence, support``."""
     items = F.array_append(tokens_of(F.col("url")), F.when(F.col("block"), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))
     baskets = written(labelled.where(F.col("block").isNotNull()).select(items.alias("items")), "url-baskets")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    support = min(1.0, max(min_support, min_pages / max(1, baskets.count())))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(
         (F.get("consequent", F.lit(0)) == BLOCK) & (F.size("antecedent") <= max_tokens)
         & ~F.array_contains("antecedent", ALLOW)).select(
