@@ -84,9 +84,9 @@ w AS (
   SELECT rid, i, md5(array_to_string(words[i:i + 34], ' ')) AS k
   FROM (SELECT rid, words, unnest(range(1, len(words) - 33)) AS i FROM d)),
 r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
-c AS (SELECT DISTINCT rid, i + o AS at FROM (SELECT rid, i, unnest(range(35)) AS o FROM r)),
-x AS (SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM d),
-k AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS kept FROM x ANTI JOIN c USING (rid, at) GROUP BY rid)
+c AS (SELECT DISTINCT rid, i + o AS place FROM (SELECT rid, i, unnest(range(35)) AS o FROM r)),
+x AS (SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM d),
+k AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS kept FROM x ANTI JOIN c USING (rid, place) GROUP BY rid)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (rid)
