@@ -12,8 +12,10 @@ length are broken by id and piece, ties in score by the older bin; other columns
 
 from __future__ import annotations
 
+import os
 import zlib
 from itertools import chain
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -28,27 +30,65 @@ SHARD = 6_000
 DOCUMENTS = LENGTH  # a piece has a token at least: these two bind only where a caller asks for less
 ATTENTION = LENGTH * LENGTH
 WEIGHTS = (1.0, 0.0, 0.0)
-BATCH_WORDS = 400_000
+KNOWN_WORDS = 400_000
 
 
 class WordEncoder:
-    """Ids of texts. The tokenizer never joins across white space, so each distinct word is encoded once a batch."""
+    """Ids of texts, as arrays. No token crosses white space, so each distinct word is encoded once and remembered.
+
+    A Python worker keeps its encoders over its tasks; of the words it remembers two generations of ``KNOWN_WORDS``. The
+    tokenizer lower-cases, and splits a full stop or comma from the ASCII letter before it, which the memory makes use of.
+    A text with ``<|`` in it may hold special tokens and is encoded as it is.
+    """
+
+    held: ClassVar[dict[tuple, WordEncoder]] = {}
+
+    @classmethod
+    def of(cls, path: str, special_as_text: bool = False) -> WordEncoder:
+        key = path, special_as_text
+        if key not in cls.held:
+            cls.held[key] = cls(*key)
+        return cls.held[key]
 
     def __init__(self, path: str, special_as_text: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.ids: dict[bytes, tuple[int, ...]] = {}
-
-    def encode(self, bodies: list[bytes]) -> list[list[int]]:
-        split = [body.split() for body in bodies]
-        if len(self.ids) > BATCH_WORDS:  # what is remembered is bounded
-            self.ids = {}
-        new = list(set(chain.from_iterable(split)).difference(self.ids))
-        for word, found in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            self.ids[word] = tuple(found.ids)
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.ids: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _direct(self, bodies: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([b.decode() for b in bodies], add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in found]
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.ids) > KNOWN_WORDS:
+            self.ids, self.older = {}, self.ids
+        older, ends, new = self.older, {}, set()
+        for word in words - self.ids.keys():
+            if word in older:
+                self.ids[word] = older[word]
+            elif word[-1:] in (b".", b",") and word[-2:-1].isalnum():
+                ends[word] = word[:-1]
+            else:
+                new.add(word)
+        stems = {*ends.values(), b".", b","} - self.ids.keys()
+        for word in stems & older.keys():
+            self.ids[word] = older[word]
+        missing = list((new | stems) - self.ids.keys())
+        self.ids.update(zip(missing, self._direct(missing)))
+        for word, stem in ends.items():
+            self.ids[word] = self.ids[stem] + self.ids[word[-1:]]
+
+    def encode(self, bodies: list[bytes]) -> list[np.ndarray]:
+        split = [body.lower().split() if b"<|" not in body else None for body in bodies]
+        self._learn(set(chain.from_iterable(filter(None, split))))
         get = self.ids.__getitem__
-        return [list(chain.from_iterable(map(get, words))) for words in split]
+        found = [b"".join(map(get, words)) if words is not None else self._direct([body])[0]
+                 for body, words in zip(bodies, split)]
+        return [np.frombuffer(ids, self.kind) for ids in found]
 
 
 def groups_of(items: list, size: int = 200):
@@ -58,13 +98,13 @@ def groups_of(items: list, size: int = 200):
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, text: str = "text", with_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``, and with ``with_ids`` the ids themselves."""
     def run(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = WordEncoder.of(tokenizer)
         for batch in batches:
             names, bodies = batch.column("doc_id").to_pylist(), texts(batch, text)
             for part in groups_of(list(range(len(names)))):
                 rows = []
                 for name, ids in zip((names[i] for i in part), encoder.encode([bodies[i] for i in part])):
-                    tokens = np.array([*ids, SEPARATOR], "<u4")
+                    tokens = np.append(ids, SEPARATOR).astype("<u4")
                     for number, start in enumerate(range(0, len(tokens), length)):
                         piece = tokens[start: start + length]
                         rows.append((name, number, start, len(piece), zlib.crc32(piece.tobytes()), piece))

@@ -43,7 +43,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, text: str = "text
     Special tokens in a text are ordinary text: the separator stands nowhere else.
     """
     def run(batches):
-        encoder, part, number = WordEncoder(tokenizer, special_as_text=True), TaskContext.get().partitionId(), 0
+        encoder, part, number = WordEncoder.of(tokenizer, special_as_text=True), TaskContext.get().partitionId(), 0
         held, names, size = [], [], 0
 
         def flushed():
@@ -63,7 +63,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, text: str = "text
             ids, bodies = batch.column("doc_id").to_pylist(), texts(batch, text)
             for some in groups_of(list(range(len(ids)))):
                 for i, tokens in zip(some, encoder.encode([bodies[i] for i in some])):
-                    held.append(np.array([*tokens, separator], DTYPE))
+                    held.append(np.append(tokens, separator).astype(DTYPE))
                     names.append(ids[i])
                     size += len(tokens) + 1
                 if size >= file_tokens:
