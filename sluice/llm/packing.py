@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import os
 import zlib
-from itertools import chain
+from itertools import compress
+from operator import not_
 from typing import ClassVar
 
 import numpy as np
@@ -30,14 +31,15 @@ SHARD = 6_000
 DOCUMENTS = LENGTH  # a piece has a token at least: these two bind only where a caller asks for less
 ATTENTION = LENGTH * LENGTH
 WEIGHTS = (1.0, 0.0, 0.0)
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 600_000
+ENDS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 
 
 class WordEncoder:
     """Ids of texts, as arrays. No token crosses white space, so each distinct word is encoded once and remembered.
 
     A Python worker keeps its encoders over its tasks; of the words it remembers two generations of ``KNOWN_WORDS``. The
-    tokenizer lower-cases, and splits a full stop or comma from the ASCII letter before it, which the memory makes use of.
+    tokenizer lower-cases, and splits a final mark from the ASCII letter or digit before it, which the memory makes use of.
     A text with ``<|`` in it may hold special tokens and is encoded as it is.
     """
 
@@ -58,37 +60,60 @@ class WordEncoder:
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.ids: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        (self.bar,) = self.tokenizer.encode("|", add_special_tokens=False).ids
 
     def _direct(self, bodies: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([b.decode() for b in bodies], add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words without a bar, encoded as one text with bars between them."""
+        found = np.array(self.tokenizer.encode(b" | ".join(words).decode(), add_special_tokens=False).ids, self.kind)
+        ends = np.append(np.flatnonzero(found == self.bar), len(found)).tolist()
+        starts = [0, *(e + 1 for e in ends[:-1])]
+        return [found[a:b].tobytes() for a, b in zip(starts, ends)]
+
     def _learn(self, words: set[bytes]) -> None:
         if len(self.ids) > KNOWN_WORDS:
             self.ids, self.older = {}, self.ids
-        older, ends, new = self.older, {}, set()
-        for word in words - self.ids.keys():
+        known, older, ends, new = self.ids, self.older, {}, set()
+        for word in words:
             if word in older:
-                self.ids[word] = older[word]
-            elif word[-1:] in (b".", b",") and word[-2:-1].isalnum():
+                known[word] = older[word]
+            elif word[-1:] in ENDS and word[-2:-1].isalnum():
                 ends[word] = word[:-1]
+                new.add(word[:-1])
+                new.add(word[-1:])
             else:
                 new.add(word)
-        stems = {*ends.values(), b".", b","} - self.ids.keys()
-        for word in stems & older.keys():
-            self.ids[word] = older[word]
-        missing = list((new | stems) - self.ids.keys())
-        self.ids.update(zip(missing, self._direct(missing)))
+        for word in older.keys() & new:
+            known[word] = older[word]
+        new.difference_update(known.keys() & new)
+        plain = [w for w in new if b"|" not in w]
+        for i in range(0, len(plain), 4096):
+            part = plain[i: i + 4096]
+            known.update(zip(part, self._words(part)))
+        barred = [w for w in new if b"|" in w]
+        known.update(zip(barred, self._direct(barred)))
         for word, stem in ends.items():
-            self.ids[word] = self.ids[stem] + self.ids[word[-1:]]
+            known[word] = known[stem] + known[word[-1:]]
 
     def encode(self, bodies: list[bytes]) -> list[np.ndarray]:
-        split = [body.lower().split() if b"<|" not in body else None for body in bodies]
-        self._learn(set(chain.from_iterable(filter(None, split))))
-        get = self.ids.__getitem__
-        found = [b"".join(map(get, words)) if words is not None else self._direct([body])[0]
-                 for body, words in zip(bodies, split)]
-        return [np.frombuffer(ids, self.kind) for ids in found]
+        found, unknown = [], set()
+        for body in bodies:
+            if b"<|" in body:
+                found.append((None, self._direct([body]), ()))
+                continue
+            words = body.lower().split()
+            ids = list(map(self.ids.get, words))
+            holes = list(compress(range(len(words)), map(not_, ids)))
+            unknown.update(words[i] for i in holes)
+            found.append((words, ids, holes))
+        self._learn(unknown)
+        for words, ids, holes in found:
+            for i in holes:
+                ids[i] = self.ids[words[i]]
+        return [np.frombuffer(b"".join(ids), self.kind) for _, ids, _ in found]
 
 
 def groups_of(items: list, size: int = 200):
