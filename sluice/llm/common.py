@@ -55,6 +55,13 @@ def blank_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK + "+"), "")
 
 
+def shielded(docs: DataFrame, own: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all other columns under names that clash with none of an operator's, and what names them back."""
+    names = {c: c if c in own else f"_other{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), lambda df: df.select(
+        *[F.col(n).alias(c) for c, n in names.items()])
+
+
 def texts(batch, column: str = "text") -> list[bytes]:
     """The UTF-8 of an Arrow column of texts; null reads as empty."""
     return [t or b"" for t in batch.column(column).cast("binary").to_pylist()]

@@ -8,7 +8,7 @@ place in the phrase and intersected with what is left. With ``slop`` above zero
 place (proximity); zero asks for the exact phrase.
 
 Defined results: null and empty texts have no words and no hits; items without words match nothing; items that share a
-text or an id each count by their id; repeated documents are searched each for itself; other columns are not read.
+text or an id each count by their id, and one with a null id marks words but is not counted; repeated documents are searched each for itself; other columns are not read.
 """
 
 from __future__ import annotations

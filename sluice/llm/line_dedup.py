@@ -47,18 +47,22 @@ class LineRuns:
         return name
 
     def _merged(self, runs: list[str]) -> DataFrame:
-        rows = reduce(DataFrame.unionByName, [self.spark.table(run) for run in runs])
-        return rows.groupBy(*KEY).agg(F.sum("docs").alias("docs"))
-
-    def _frequent_in_runs(self) -> DataFrame | None:
-        runs = [run for level in self.levels for run in level]
-        frequent = [self.spark.table(run).where(F.col("docs") >= self.min_docs).select(*KEY) for run in runs]
-        return reduce(DataFrame.unionByName, frequent) if frequent else None
+        """One run out of several: a merge join of sorted buckets, which shuffles nothing."""
+        def both(left: DataFrame, right: DataFrame) -> DataFrame:
+            docs = F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))
+            return left.join(right.withColumnRenamed("docs", "more"), KEY, "full_outer").select(*KEY, docs.alias("docs"))
+        return reduce(both, [self.spark.table(run) for run in runs])
+
+    def _unknown(self, counts: DataFrame) -> DataFrame:
+        """What the runs do not know to be frequent yet."""
+        for run in (run for level in self.levels for run in level):
+            frequent = self.spark.table(run).where(F.col("docs") >= self.min_docs).select(*KEY)
+            counts = counts.join(frequent, KEY, "left_anti")
+        return counts
 
     def add(self, counts: DataFrame) -> None:
         """Takes the counts ``h1, h2, docs`` of a batch, distinct by key."""
-        known = self._frequent_in_runs()
-        self.levels[0].append(self._write(counts if known is None else counts.join(known, KEY, "left_anti")))
+        self.levels[0].append(self._write(self._unknown(counts)))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []

@@ -39,7 +39,8 @@ def rule_ledger(spark, folder) -> DataFrame:
 def counted_tokens(spark, folder) -> DataFrame:
     files = shared_folder(spark, "token-files")
     listed = written(token_counts.write_tokens(table(spark, folder, "documents"), files, TOKENIZER), "token-manifest")
-    return listed.join(token_counts.count_tokens(spark, files), ["file", "ordinal"]).select(
+    # The manifest is small as a file and large as rows: it is never broadcast.
+    return listed.hint("merge").join(token_counts.count_tokens(spark, files), ["file", "ordinal"]).select(
         "doc_id", "n_tokens", "file", "ordinal", "token_start")
 
 

@@ -72,6 +72,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, text: str = "text
         if names:
             yield flushed()
 
+    store, base = _opened(folder)
+    store.create_dir(base)  # there may be no document at all
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(
         run, "file string, ordinal long, doc_id long")
 
