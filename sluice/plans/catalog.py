@@ -81,12 +81,6 @@ def q3_strkey(spark, folder):
     return auctions.q3(mapped.auction(spark, folder), mapped.person(spark, folder), key_type="string")
 
 
-@query
-def q3_within(spark, folder):
-    """Auctions within a year of the seller's appearance."""
-    return auctions.q3(mapped.auction(spark, folder), mapped.person(spark, folder), within="365 days")
-
-
 @query
 def q3_incremental(spark, folder):
     return auctions.q3_incremental(mapped.auction(spark, folder), mapped.person(spark, folder), time_slices=SLICES)
@@ -109,10 +103,9 @@ def q3_versions(spark, folder):
 
 
 def person_versions(spark, folder):
-    """Persons that move with every tenth order: the city is the order's priority, the state follows its number."""
-    orders = table(spark, folder, "orders")
+    """Persons that move with every order: the city is the order's priority, the state follows its number."""
+    moves = table(spark, folder, "orders")
     states = F.array(*[F.lit(s) for s in ("OR", "ID", "CA", "WA", "NY", "TX")])
-    moves = orders.where(F.col("o_orderstatus") == "F")
     return moves.select(
         F.col("o_custkey").alias("id"),
         F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("name"),
@@ -454,7 +447,7 @@ def irate_resets(spark, folder):
 @query
 def elapsed(spark, folder):
     samples = metrics.with_elapsed(mapped.metric_samples(spark, folder))
-    return samples.select("run_id", "ts", "value", F.round("elapsed", 6).alias("elapsed"))
+    return samples.select("run_id", "variant", "ts", "value", F.round("elapsed", 6).alias("elapsed"))
 
 
 @query
@@ -478,13 +471,13 @@ def series_totals(spark, folder):
 def series_side_by_side(spark, folder):
     samples = mapped.metric_samples(spark, folder).withColumn("ts", F.window("ts", "1 hour")["start"])
     summed = metrics.totals(samples, ["service"]).withColumnRenamed("total", "value")
-    return metrics.side_by_side(summed, ["taskmanager", "storage", "proxy"], column="service")
+    return metrics.side_by_side(summed, ["taskmanager", "storage", "proxy", "source"], column="service")
 
 
 @query
 def warm_up_cut(spark, folder):
     samples = metrics.after_warm_up(mapped.metric_samples(spark, folder), warm_up="2 days")
-    return samples.select("run_id", "ts", "service", "value")
+    return samples.select("run_id", "variant", "ts", "service", "value")
 
 
 @query

@@ -75,14 +75,14 @@ def stacked(*frames: DataFrame) -> DataFrame:
     return first
 
 
-def with_elapsed(samples: DataFrame, run: Sequence[str] = ("run_id",), *, time: str = "ts") -> DataFrame:
-    """Adds the seconds since the run's first sample."""
+def with_elapsed(samples: DataFrame, run: Sequence[str] = ("run_id", "variant"), *, time: str = "ts") -> DataFrame:
+    """Adds the seconds since the first sample of the run; each variant of a run is a launch of its own."""
     starts = samples.groupBy(*run).agg(F.min(time).alias("_start"))
     joined = samples.join(starts, list(run))
     return joined.withColumn("elapsed", seconds_between(F.col(time), F.col("_start"))).drop("_start")
 
 
-def after_warm_up(samples: DataFrame, run: Sequence[str] = ("run_id",), *, time: str = "ts", warm_up: str = WARM_UP,
+def after_warm_up(samples: DataFrame, run: Sequence[str] = ("run_id", "variant"), *, time: str = "ts", warm_up: str = WARM_UP,
                   samples_cut: int = WARM_UP_SAMPLES) -> DataFrame:
     """Drops the warm-up time of every run and then its first instants.
 

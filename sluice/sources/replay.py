@@ -6,38 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The most rows a replay of each topic produces.
-REPLAY_CAPS = {"bid": 20_000_000, "auction": 70_000_000, "person": 40_000_000}
-
 # Events per topic out of every 50 (2 %, 6 % and 92 %).
 MIX = {"person": 1, "auction": 3, "bid": 46}
 MIX_CYCLE = 50
 
 
 def replay_files(spark: SparkSession, path: str, schema: T.StructType, *, file_format: str = "parquet",
-                 files_per_trigger: int = 1, position: str | None = None, cap: int | None = None) -> DataFrame:
-    """Stored rows as a stream, some files per trigger; the pace is the query's processing-time trigger.
-
-    Rows whose ``position`` is at or beyond ``cap`` are left out.
-    """
-    reader = spark.readStream.format(file_format).schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    rows = reader.load(path)
-    return rows if cap is None else rows.where(F.col(position) < cap)
-
-
-def replay_table(spark: SparkSession, table: DataFrame, position: str, *, rows_per_batch: int, cap: int) -> DataFrame:
-    """The rows of a stored table at a fixed number of rows per micro-batch.
-
-    ``position`` numbers the rows from 0; rows at or beyond ``cap`` are not replayed. The clock and the table meet in
-    an equi-join on the position, so neither side is collected. The table is read in every micro-batch: for large ones
-    use ``replay_files``.
-    """
-    clock = (
-        spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch).load()
-        .select(F.col("value").alias("_position"))
-        .where(F.col("_position") < cap)
-    )
-    return clock.join(table, F.col("_position") == F.col(position)).drop("_position")
+                 files_per_trigger: int = 1) -> DataFrame:
+    """All stored rows as a stream, some files per trigger; the pace is the query's processing-time trigger."""
+    return spark.readStream.format(file_format).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
 def event_kind(position) -> Column:

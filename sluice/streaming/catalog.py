@@ -1,7 +1,7 @@
 """Queries of the catalog that run as streams: over all stored rows, until the input is used up.
 
-Each writes its result to a folder of its own below the shared folder and returns it. Windows and sessions that the
-final watermark has not passed stay open and are not part of the result.
+Each writes its result to a folder of its own below the shared folder and returns it. Queries with windows or sessions
+get a closing row per topic, so that their results are complete.
 """
 
 from __future__ import annotations
@@ -42,22 +42,27 @@ def _stored(spark, folder, name):
     return jobs.stored_stream(spark, folder, name, table(spark, folder, name).schema)
 
 
-def _bid(spark, folder):
-    return with_watermark(mapped.bid_from(_stored(spark, folder, "events")))
+def _bid(spark, folder, closing=None):
+    return _watermarked(mapped.bid_from(_stored(spark, folder, "events")), closing, "bid")
 
 
-def _auction(spark, folder):
-    return with_watermark(mapped.auction_from(_stored(spark, folder, "orders")))
+def _auction(spark, folder, closing=None):
+    return _watermarked(mapped.auction_from(_stored(spark, folder, "orders")), closing, "auction")
 
 
-def _published(spark, rows, out):
+def _watermarked(rows, closing, topic):
+    """With ``closing``, a folder, the topic ends with a closing row."""
+    return with_watermark(jobs.closed(rows, closing, topic) if closing else rows)
+
+
+def _published(spark, rows, out, closing=None):
     """Rows that only a batch query can make, written down and streamed from there."""
     stream = spark.readStream.schema(rows.schema).parquet(jobs.publish(rows, out))
-    return with_watermark(jobs.zoned(stream))
+    return _watermarked(jobs.zoned(stream), closing, "published")
 
 
-def _person(spark, folder, out):
-    return _published(spark, mapped.person(spark, folder), out)
+def _person(spark, folder, out, closing=None):
+    return _published(spark, mapped.person(spark, folder), out, closing)
 
 
 @stream_query
@@ -79,12 +84,6 @@ def stream_q3(spark, folder, out):
     return auctions.q3(_auction(spark, folder), _person(spark, folder, out))
 
 
-@stream_query
-def stream_q3_within(spark, folder, out):
-    """With a time bound, so that old rows leave the state."""
-    return auctions.q3(_auction(spark, folder), _person(spark, folder, out), within="365 days")
-
-
 @stream_query
 def stream_q3_incremental(spark, folder, out):
     person = _person(spark, folder, out).where(F.col("state").isin(*auctions.LOCAL_STATES))
@@ -100,17 +99,17 @@ def stream_q3_versions(spark, folder, out):
 
 @stream_query
 def stream_q5(spark, folder, out):
-    return auctions.q5(_bid(spark, folder), **catalog.HOP)
+    return auctions.q5(_bid(spark, folder, out), **catalog.HOP)
 
 
 @stream_query
 def stream_q5_counts(spark, folder, out):
-    return auctions.q5_counts(_bid(spark, folder), **catalog.COUNT_HOP)
+    return auctions.q5_counts(_bid(spark, folder, out), **catalog.COUNT_HOP)
 
 
 @stream_query
 def stream_q8(spark, folder, out):
-    return auctions.q8(_person(spark, folder, out), _auction(spark, folder), size=catalog.TUMBLE)
+    return auctions.q8(_person(spark, folder, out, out), _auction(spark, folder, out), size=catalog.TUMBLE)
 
 
 @stream_query
@@ -120,12 +119,12 @@ def stream_q8_pairs(spark, folder, out):
 
 @stream_query
 def stream_q11(spark, folder, out):
-    return auctions.q11(_bid(spark, folder), gap=catalog.GAP)
+    return auctions.q11(_bid(spark, folder, out), gap=catalog.GAP)
 
 
 @stream_query
 def stream_q11_early(spark, folder, out):
-    bid = mapped.bid_from(_stored(spark, folder, "events"))
+    bid = jobs.closed(mapped.bid_from(_stored(spark, folder, "events")), out, "bid")
     return early_sessions_stream(bid, gap=catalog.GAP, every=catalog.FIRE_EVERY, delay=WATERMARK_DELAY)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -63,15 +64,20 @@ class EarlySessions(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         sessions = [tuple(s) for s in self.open.get()]
         before = self._alarm(sessions)
-        reported = []
-        for first, last, num in sorted((row["first"], row["last"], row["num"]) for row in rows):
-            touched = [s for s in sessions if first <= s[1] + self.gap and s[0] <= last + self.gap]
-            sessions = [s for s in sessions if s not in touched]
+        sessions.sort()
+        firsts, reported = [s[0] for s in sessions], []
+        for at, num in sorted((row["first"], row["num"]) for row in rows):
+            # Open sessions lie more than a gap apart, so an instant touches two of them at most.
+            after = before_it = bisect_right(firsts, at + self.gap)
+            while before_it and sessions[before_it - 1][1] + self.gap >= at:
+                before_it -= 1
+            touched = sessions[before_it:after]
             held, since = sum(s[2] for s in touched), sum(s[3] for s in touched)
             counts, since = firings(held, since, num, self.every)
             reported += counts
-            first, last = min([first, *(s[0] for s in touched)]), max([last, *(s[1] for s in touched)])
-            sessions.append((first, last, held + num, since))
+            first, last = min([at, *(s[0] for s in touched)]), max([at, *(s[1] for s in touched)])
+            sessions[before_it:after] = [(first, last, held + num, since)]
+            firsts[before_it:after] = [first]
         self._store(sessions, before)
         yield from self._output(key, reported)
 
@@ -91,11 +97,11 @@ def early_sessions_stream(bid: DataFrame, *, gap: str = "10 seconds", every: int
                           delay: str = WATERMARK_DELAY) -> DataFrame:
     """``bidder, bid_count``: a row for every ``every`` bids of a growing session and one when it ends.
 
-    ``bid`` needs no watermark of its own. Bids are combined per task, bidder and piece of time (no longer than the
-    gap, so a piece never spans two sessions) before they reach the bidder's state.
+    ``bid`` needs no watermark of its own. Bids of one bidder at one instant are combined per task before they reach
+    the bidder's state; wider pieces could touch two sessions at once and hide which bid made a count complete.
     """
     micros = int(duration(gap).total_seconds() * 1_000_000)
-    spans = combine_spans(bid, key, TIME, micros)
+    spans = combine_spans(bid, key, TIME, 1)
     timed = spans.withColumn(TIME, F.timestamp_micros("last")).withWatermark(TIME, delay)
     output = T.StructType([bid.schema[key], T.StructField("bid_count", T.LongType())])
     return timed.groupBy(key).transformWithState(

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..schemas import TIME
+
+# Later than any event time; in the past of no window.
+CLOSING = "2200-01-01 00:00:00"
+
 
 def run_available(df: DataFrame, folder: str) -> None:
     """Processes all available input in append mode into parquet files below ``folder``.
@@ -53,11 +58,26 @@ def publish(df: DataFrame, folder: str) -> str:
 
 
 def stored_stream(spark: SparkSession, folder: str, table: str, schema: T.StructType) -> DataFrame:
-    """A table stored as one or more ``table*.parquet`` files as a stream; zoned timestamps, as watermarks need."""
-    rows = spark.readStream.schema(schema).parquet(f"{folder}/{table}*.parquet")
+    """A stored table as a stream, from the same path as in batch; zoned timestamps, as watermarks need."""
+    # A file stream takes folders and patterns only: this pattern matches the one name.
+    rows = spark.readStream.schema(schema).parquet(f"{folder}/{table[:-1]}[{table[-1]}].parquet")
     return zoned(rows)
 
 
+def closed(rows: DataFrame, folder: str, topic: str) -> DataFrame:
+    """A stream that ends, with a closing row: it lies beyond all others, so that the last windows and sessions close.
+
+    Its numbers are -1, so that no join's null filter takes it out below the watermark; its own window never closes.
+    Only for streams that are read as one micro-batch: a later batch would be late.
+    """
+    spark = rows.sparkSession
+    value = lambda f: CLOSING if f.name == TIME else -1 if isinstance(f.dataType, T.NumericType) else None
+    end = spark.range(1).select(*[F.lit(value(f)).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+    path = f"{folder}/closing-{topic}"
+    end.write.parquet(path)
+    return rows.unionByName(spark.readStream.schema(rows.schema).parquet(path))
+
+
 def zoned(rows: DataFrame) -> DataFrame:
     return rows.select(*[
         F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name)

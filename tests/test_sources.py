@@ -88,33 +88,16 @@ def test_spread(spark):
     assert sinks.spread(spark.range(100), 7).rdd.getNumPartitions() == 7
 
 
-def test_replay_of_a_table_stops_at_the_cap(spark, folder):
-    stream = stream_session(spark)
-    table = stream.range(40).select(F.col("id").alias("n"), (F.col("id") * 2).alias("v"))
-    replayed = replay.replay_table(stream, table, "n", rows_per_batch=10, cap=25)
-    query = (replayed.writeStream.format("parquet").option("path", f"{folder}/rows")
-             .option("checkpointLocation", f"{folder}/cp").start())
-    try:
-        for _ in range(200):
-            if query.lastProgress and query.lastProgress.batchId >= 3:
-                break
-            query.awaitTermination(0.2)
-    finally:
-        query.stop()
-    got = stream.read.parquet(f"{folder}/rows")
-    assert sorted(r.n for r in got.collect()) == list(range(25))
-
-
 def test_replay_of_files(spark, folder):
     spark.range(30).repartition(3).write.parquet(f"{folder}/in")
     stream = stream_session(spark)
     schema = T.StructType().add("id", T.LongType())
-    df = replay.replay_files(stream, f"{folder}/in", schema, position="id", cap=21)
+    df = replay.replay_files(stream, f"{folder}/in", schema)
     query = (df.writeStream.format("parquet").option("path", f"{folder}/rows")
              .option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start())
     query.awaitTermination()
     assert len(query.recentProgress) == 3
-    assert stream.read.parquet(f"{folder}/rows").count() == 21
+    assert stream.read.parquet(f"{folder}/rows").count() == 30
 
 
 def test_latency_report(spark, folder):

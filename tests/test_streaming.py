@@ -13,7 +13,7 @@ from sluice.schemas import topic_schema
 from sluice.session import stream_session
 from sluice.sources import sinks, topics
 from sluice.streaming import jobs
-from sluice.streaming.early_sessions import early_sessions_stream, firings
+from sluice.streaming.early_sessions import EarlySessions, early_sessions_stream, firings
 from sluice.streaming.emit_once import emit_once_stream
 from sluice.streaming.running_count import running_count_stream
 
@@ -222,6 +222,34 @@ def test_late_sessions_merge(spark, folder, collected):
     assert collected(got.where("bidder = 1")) == [(1, 3)]
 
 
+def test_bids_between_two_open_sessions(spark, folder, collected):
+    """The bid at 10 makes the fourth of the first session, the one at 13 joins both and makes the eighth."""
+    topic, out = Topic(spark, folder, "bid"), f"{folder}/out"
+
+    def go_on():
+        df = early_sessions_stream(topic.stream(watermark=None), gap="5 seconds", every=2, delay="60 seconds")
+        jobs.run_available(df, out)
+        return collected(jobs.written(df.sparkSession, out, df.schema))
+
+    topic.add([bid(1, 1, t) for t in (0, 3, 5, 17, 18, 20)])
+    assert go_on() == [(1, 2), (1, 2)]
+    topic.add([bid(1, 1, 10), bid(1, 1, 13)])
+    assert go_on() == [(1, 2), (1, 2), (1, 4), (1, 8)]
+
+
+def test_sessions_of_one_key_take_linear_time():
+    from time import perf_counter
+    from types import SimpleNamespace
+
+    processor = EarlySessions("bidder", 5, 2)
+    processor.open = SimpleNamespace(get=list, put=lambda rows: None, clear=lambda: None)
+    processor.handle = SimpleNamespace(registerTimer=lambda at: None, deleteTimer=lambda at: None)
+    start = perf_counter()
+    rows = [{"first": 100 * i, "last": 100 * i, "num": 1} for i in range(8000)]
+    assert list(processor.handleInputRows((1,), iter(rows), None)) == []
+    assert perf_counter() - start < 0.5
+
+
 def test_late_rows_are_dropped_and_counted(spark, folder, collected):
     """A watermark takes effect on late rows one micro-batch after it was computed."""
     topic = Topic(spark, folder, "bid").add([bid(1, 1, 0), bid(1, 1, 100)]).add([bid(2, 1, 101)])
