@@ -364,6 +364,8 @@ SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('cpu_', event_type, '.',
 FROM events""",
     "series_totals": _with(SAMPLES, HOURLY) + """
 SELECT service, ts, CAST(sum(value) AS BIGINT) AS total FROM hourly GROUP BY service, ts""",
+    "series_grand_total": _with(SAMPLES, HOURLY) + """
+SELECT ts, CAST(sum(value) AS BIGINT) AS total FROM hourly GROUP BY ts""",
     "series_side_by_side": _with(SAMPLES, HOURLY) + """
 SELECT ts, CAST(sum(value) FILTER (service = 'taskmanager') AS BIGINT) AS taskmanager,
        CAST(sum(value) FILTER (service = 'storage') AS BIGINT) AS storage,
@@ -449,7 +451,13 @@ ORACLE["q3_strkey"] = ORACLE["q3"]
 ORACLE["q3_incremental_strkey"] = ORACLE["q3_incremental"]
 
 ORACLE |= {
+    "stream_q0": ORACLE["q0"],
     "stream_q1": ORACLE["q1"],
+    "stream_q1_float": ORACLE["q1_float"],
+    "stream_q2_modulo": ORACLE["q2_modulo"],
+    "stream_q5_strkey": ORACLE["q5_strkey"],
+    "stream_q11_composite": ORACLE["q11_composite"],
+    "stream_wordcount_two_inputs": ORACLE["wordcount_two_inputs"],
     "stream_q2": ORACLE["q2"],
     "stream_q3": ORACLE["q3"],
     "stream_q3_incremental": ORACLE["q3_incremental"],

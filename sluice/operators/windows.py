@@ -87,11 +87,20 @@ def peak_rows(counts: DataFrame, group: str = "w", count: str = "num") -> DataFr
     """The rows of every group whose count is the group's highest.
 
     The highest counts are aggregated first and joined back, so no group is ever sorted in one task. In batch the join
-    is null-safe: it then adds no filters to one side only, and both sides read the same shuffled counts.
+    is null-safe: it then adds no filters to one side only, and both sides read the same shuffled counts. On streams the
+    rows of a group are dealt over salts, as many as there are state partitions.
     """
-    peaks = counts.groupBy(F.col(group).alias("peak_of")).agg(F.max(count).alias("peak"))
     if counts.isStreaming:
-        same = (F.col(group) == F.col("peak_of")) & (F.col(count) >= F.col("peak"))
-    else:
-        same = F.col(group).eqNullSafe(F.col("peak_of")) & F.col(count).eqNullSafe(F.col("peak"))
+        # The state of a join has one task per key: a window alone would hold all counts of its time in one.
+        salts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        others = [c for c in counts.columns if c not in (group, count)]
+        salted = counts.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)))
+        parts = salted.groupBy(F.col(group).alias("part_of"), "_salt").agg(F.max(count).alias("part"))
+        peaks = parts.groupBy(F.col("part_of").alias("peak_of")).agg(F.max("part").alias("peak"))
+        each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+        spread = peaks.select("peak_of", "peak", each.alias("peak_salt"))
+        same = (F.col(group) == F.col("peak_of")) & (F.col("_salt") == F.col("peak_salt")) & (F.col(count) >= F.col("peak"))
+        return salted.join(spread, same).drop("peak_of", "peak", "_salt", "peak_salt")
+    peaks = counts.groupBy(F.col(group).alias("peak_of")).agg(F.max(count).alias("peak"))
+    same = F.col(group).eqNullSafe(F.col("peak_of")) & F.col(count).eqNullSafe(F.col("peak"))
     return counts.join(peaks, same).drop("peak_of", "peak")

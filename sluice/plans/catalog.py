@@ -467,6 +467,12 @@ def series_totals(spark, folder):
     return metrics.totals(samples, ["service"])
 
 
+@query
+def series_grand_total(spark, folder):
+    """All series together."""
+    return metrics.totals(mapped.metric_samples(spark, folder).withColumn("ts", F.window("ts", "1 hour")["start"]))
+
+
 @query
 def series_side_by_side(spark, folder):
     samples = mapped.metric_samples(spark, folder).withColumn("ts", F.window("ts", "1 hour")["start"])

@@ -65,6 +65,21 @@ def _person(spark, folder, out, closing=None):
     return _published(spark, mapped.person(spark, folder), out, closing)
 
 
+@stream_query
+def stream_q0(spark, folder, out):
+    return auctions.q0(_bid(spark, folder))
+
+
+@stream_query
+def stream_q1_float(spark, folder, out):
+    return auctions.q1_float(_bid(spark, folder))
+
+
+@stream_query
+def stream_q2_modulo(spark, folder, out):
+    return auctions.q2_modulo(_bid(spark, folder))
+
+
 @stream_query
 def stream_q1(spark, folder, out):
     return auctions.q1(_bid(spark, folder))
@@ -107,6 +122,11 @@ def stream_q5_counts(spark, folder, out):
     return auctions.q5_counts(_bid(spark, folder, out), **catalog.COUNT_HOP)
 
 
+@stream_query
+def stream_q5_strkey(spark, folder, out):
+    return auctions.q5_counts(_bid(spark, folder, out), key_type="string", **catalog.HOP)
+
+
 @stream_query
 def stream_q8(spark, folder, out):
     return auctions.q8(_person(spark, folder, out, out), _auction(spark, folder, out), size=catalog.TUMBLE)
@@ -122,6 +142,11 @@ def stream_q11(spark, folder, out):
     return auctions.q11(_bid(spark, folder, out), gap=catalog.GAP)
 
 
+@stream_query
+def stream_q11_composite(spark, folder, out):
+    return auctions.q11_composite(_bid(spark, folder, out), gap=catalog.GAP)
+
+
 @stream_query
 def stream_q11_early(spark, folder, out):
     bid = jobs.closed(mapped.bid_from(_stored(spark, folder, "events")), out, "bid")
@@ -142,4 +167,13 @@ def stream_wordcount(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.latest_updates(spark, out, counts.schema, ["word"])
 
 
+def stream_wordcount_two_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over two streams, counted together."""
+    out, stream = shared_folder(spark, "stream_wordcount_two_inputs"), stream_session(spark)
+    counts = wordcount.wordcount_two_inputs(_stored(stream, folder, "documents"), _stored(stream, folder, "conversations"))
+    jobs.run_updates(counts, out)
+    return jobs.latest_updates(spark, out, counts.schema, ["word"])
+
+
 CATALOG["stream_wordcount"] = stream_wordcount
+CATALOG["stream_wordcount_two_inputs"] = stream_wordcount_two_inputs
