@@ -2,7 +2,7 @@
 
 The index is cut by documents: a shard is a bounded number of words of whole documents, and holds for each term the
 ascending places where it stands, counted over the shard (a gap separates documents). Postings are stored for the terms
-of the test set, which is broadcast in blocks of ``TERMS`` terms at most. A phrase is looked up in every shard from the
+of the test set, which is broadcast in blocks of about ``TERMS`` words of phrases. A phrase is looked up in every shard from the
 rarest of its terms, by its number of postings in the whole index, to the commonest: each list is shifted by the term's
 place in the phrase and intersected with what is left. With ``slop`` above zero a term may stand that many words off its
 place (proximity); zero asks for the exact phrase.
@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from sluice.llm.common import ALNUM_WORDS, row_key, texts, written
 WINDOW = 10
 SHARD_WORDS = 500_000
 GAP = 1_000  # places between two documents of a shard; more than any phrase is long
-TERMS = 200_000  # words of phrases that are broadcast at once
+TERMS = 500_000  # words of phrases that are broadcast at once, each phrase with all its words
 
 
 def words(text: bytes) -> list[bytes]:
@@ -79,7 +80,8 @@ def index(docs: DataFrame, vocabulary: list[str], text: str = "text", shard_word
                 keys = zip(*[batch.column(c).to_pylist() for c in ("id", "k1", "k2")])
                 yield from zip(keys, map(words, texts(batch, text)))
 
-        for shard in _shards(entries(), shard_words):
+        part = TaskContext.get().partitionId() << 32
+        for name, shard in enumerate(_shards(entries(), shard_words), part):
             sizes = np.array([len(w) for _, w in shard], np.int64)
             starts = np.concatenate([[0], np.cumsum(sizes + GAP)[:-1]])
             terms, places = [], []
@@ -95,7 +97,7 @@ def index(docs: DataFrame, vocabulary: list[str], text: str = "text", shard_word
             lists = pa.ListArray.from_arrays(
                 pa.array(np.append(edges, len(terms)), pa.int32()), pa.array(places, pa.int64()))
             ids, first, second = zip(*[key for key, _ in shard])
-            name, count = first[0] ^ second[-1], len(edges)
+            count = len(edges)
             empty = pa.array([None] * count, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([
                 pa.array([name] * (count + 1), pa.int64()),
@@ -181,8 +183,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int
          block: int = TERMS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, k1, k2, n_words, n_hit, items``. The test set is searched in blocks."""
     wanted = written(phrases(benchmark, window, text=text), "phrases")
-    terms = wanted.select(F.explode("terms").alias("term")).distinct()
-    blocks = max(1, -(-terms.count() * window // block))
+    (total,) = wanted.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    blocks = max(1, -(-total // block))
     found = []
     for number in range(blocks):
         part = wanted.where(F.pmod("phrase", F.lit(blocks)) == number)

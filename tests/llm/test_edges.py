@@ -175,6 +175,16 @@ def test_proximity(spark):
     assert exact == {2} and near == {1, 2}
 
 
+def test_equal_rows_in_many_shards_and_phrases_in_blocks(spark):
+    docs = spark.createDataFrame([(1, "red green blue")] * 40 + [(2, "blue")], "doc_id long, text string").repartition(8)
+    bench = spark.createDataFrame([(i, f"red green {w}") for i, w in enumerate(["blue", "gray", "pink"])] + [(9, "blue")],
+                                  "item_id long, text string")
+    want = sorted([(1, 3, 3, ["0", "9"])] * 40 + [(2, 1, 1, ["9"])])
+    for block in (1, 4, decontaminate.TERMS):
+        found = decontaminate.hits(docs, bench, block=block).select("doc_id", "n_words", "n_hit", "items")
+        assert sorted(tuple(r) for r in found.collect()) == want, block
+
+
 def test_blocks_are_stitched(spark, tmp_path):
     import numpy as np
     draw = np.random.default_rng(3)
