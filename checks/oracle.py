@@ -289,6 +289,11 @@ SELECT topic, count(*) AS records, count(*) FILTER (kept) AS kept, count(*) FILT
 FROM sizes GROUP BY topic""",
     "scan_missing_attribute": """
 SELECT event_id FROM events WHERE user_id % 2 <> 0 OR event_type IN ('click', 'error')""",
+    "scan_tombstones": _with(BID, RECORDS) + """
+SELECT "partition", "offset", CAST(price AS VARCHAR) AS price FROM records WHERE "offset" % 7 <> 0""",
+    "scan_value_kinds": """
+SELECT event_id FROM events
+WHERE CASE event_id % 4 WHEN 0 THEN event_id % 8 = 0 WHEN 3 THEN event_type = 'click' ELSE TRUE END""",
     "typed_source": _with(PERSON) + 'SELECT * FROM person',
     "keyed_sink": _with(AUCTION) + "SELECT CAST(id AS VARCHAR) AS key, seller FROM auction",
     "event_mix": """
@@ -384,6 +389,9 @@ fast AS (
   HAVING sum(value) > throughput * parallelism * {SHARE} * 0.95::DOUBLE)""") + """
 SELECT run_id, variant, service, replica, ts, value FROM hourly
 WHERE query IN (2, 3) OR (run_id, variant, ts) IN (SELECT (run_id, variant, ts) FROM fast)""",
+    "stacked_series": _with(SAMPLES, HOURLY) + """
+SELECT service, ts, CAST(sum(value) AS BIGINT) AS total FROM hourly GROUP BY service, ts
+UNION ALL SELECT 'all', ts, CAST(sum(value) AS BIGINT) FROM hourly GROUP BY ts""",
     "role_usage": _with(SAMPLES, _usage("samples")) + """
 SELECT run_id, variant, role, round(usage, 6) AS usage FROM usage""",
     "variant_compare": _with(SAMPLES, _warm("run_id, variant"), """
@@ -446,11 +454,20 @@ ORACLE["pushdown_savings"] = _with(BID, AUCTION, PERSON) + "UNION ALL".join([
 for _query in ("q0", "q1", "q2", "q3", "q5", "q8", "q11"):
     ORACLE[f"pushed_{_query}"] = ORACLE[_query]
 ORACLE["unpushed_q3"], ORACLE["unpushed_q5"] = ORACLE["q3"], ORACLE["q5"]
+ORACLE["by_virtual_partition"] = f"""
+SELECT "partition", "offset", virtual, TRUE AS in_place FROM ({ORACLE["deal_out"]}) WHERE virtual IS NOT NULL"""
+ORACLE["virtuals_by_origin"] = _with(BID, RECORDS, ORIGIN_OWNER) + """
+SELECT origin, virtual FROM mapping WHERE origin IN (SELECT "partition" FROM records)"""
+ORACLE["usage_by_pattern"] = ORACLE["role_usage"]
 ORACLE["wordcount_rebalanced"] = ORACLE["wordcount_all"]
 ORACLE["q3_strkey"] = ORACLE["q3"]
 ORACLE["q3_incremental_strkey"] = ORACLE["q3_incremental"]
 
 ORACLE |= {
+    "stream_pushed_q3": ORACLE["q3"],
+    "stream_pushed_q5": ORACLE["q5"],
+    "stream_pushed_q8": ORACLE["q8"],
+    "stream_pushed_q11": ORACLE["q11"],
     "stream_q0": ORACLE["q0"],
     "stream_q1": ORACLE["q1"],
     "stream_q1_float": ORACLE["q1_float"],

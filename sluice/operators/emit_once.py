@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timing import time_slice
@@ -12,6 +12,14 @@ from .windows import count_up
 
 PERSON_FIELDS = ("name", "city", "state")
 
+# On streams a seller's auctions are spread over state keys, as many as there are state partitions but not more than
+# this, since every one of them keeps a copy of the person.
+MOST_SALTS = 32
+
+
+def seller_salts(spark: SparkSession) -> int:
+    return min(MOST_SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
 
 def emit_once(auction: DataFrame, person: DataFrame, *, key_type: str = "bigint", time_slices: str = "1 hour") -> DataFrame:
     """``name, city, state, id`` in the order of event time.

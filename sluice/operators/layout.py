@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keygroups as kg
-from .scan import TopicCriteria, key_fields
+from .scan import TopicCriteria, key_fields, with_key_row
 
 
 def virtual_partitions(spark: SparkSession, topic: str, num_sources: int, num_partitions: int) -> DataFrame:
@@ -52,7 +52,7 @@ def deal_out(
     )
     if criteria.num_sources * criteria.num_partitions <= BROADCAST_MAPPING_ROWS:
         first = F.broadcast(first)
-    return records.withColumn("slot", slots).join(first, ["partition", "slot"], "left").select(
+    return with_key_row(records, criteria).withColumn("slot", slots).join(first, ["partition", "slot"], "left").select(
         *records.columns, "slot", "virtual"
     )
 

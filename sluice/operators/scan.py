@@ -225,9 +225,9 @@ def scan_records(
     return kept.unionByName(markers)
 
 
-def _totals(output: Column) -> list[Column]:
+def _totals(output: Column, kept: Column | None = None) -> list[Column]:
     read, sent = record_bytes(F.col("key"), F.col("value")), record_bytes(F.col("key"), output)
-    kept = F.col("kept")
+    kept = F.col("kept") if kept is None else kept
     count = lambda flag: F.sum(F.when(flag, 1).otherwise(0)).cast("bigint")
     return [
         F.count(F.lit(1)).alias("records"),
@@ -245,6 +245,23 @@ def scan_stats(records: DataFrame, criteria: TopicCriteria, *, on_malformed: str
     return stats.withColumn("bytes_saved", F.col("bytes_read") - F.col("bytes_sent"))
 
 
+def compare_stats(records: DataFrame, criteria: dict[str, TopicCriteria], name: str = "query") -> DataFrame:
+    """``scan_stats`` for several criteria over one topic, which is read and parsed once; ``name`` tells them apart."""
+    rows = records.where(F.col("value").isNotNull())
+    attributes = tuple(dict.fromkeys(a for c in criteria.values() for a in c.attributes()))
+    rows = expand(rows, "value", _variant_schema(list(attributes)), "fail")
+    row = F.col("row")
+    judged = rows.select("topic", "key", "value", *[
+        F.struct(
+            (_test(c.selections)(row) if c.selections else F.lit(True)).alias("kept"), _output(c).alias("output"),
+        ).alias(f"by{i}") for i, c in enumerate(criteria.values())])
+    reports = judged.groupBy("topic").agg(*[
+        F.struct(F.lit(label).alias(name), *_totals(F.col(f"by{i}.output"), F.col(f"by{i}.kept"))).alias(f"by{i}")
+        for i, label in enumerate(criteria)])
+    each = reports.select("topic", F.inline(F.array(*[F.col(f"by{i}") for i in range(len(criteria))])))
+    return each.withColumn("bytes_saved", F.col("bytes_read") - F.col("bytes_sent"))
+
+
 SCAN_METRICS = "scan"
 
 
@@ -254,10 +271,19 @@ def observed_scan(records: DataFrame, criteria: TopicCriteria, *, on_malformed:
     return judged.where("kept").withColumn("value", F.col("output")).select(*records.columns)
 
 
-def key_fields(criteria: TopicCriteria, value: str = "value") -> list[tuple[Column, str]]:
-    """Partition key columns read from the JSON value: wrong types count as empty text or 0, absent ones as null."""
+KEY_ROW = "_key_row"
+
+
+def with_key_row(records: DataFrame, criteria: TopicCriteria, value: str = "value") -> DataFrame:
+    """Adds the partition key attributes, parsed from the JSON value once: the generator keeps the parser in one place."""
     names = [name for name, _ in criteria.partition_keys]
     row = F.from_json(F.col(value), ", ".join(f"{quoted(n)} VARIANT" for n in names))
+    return records.withColumn(KEY_ROW, F.explode(F.array(row)))
+
+
+def key_fields(criteria: TopicCriteria) -> list[tuple[Column, str]]:
+    """Partition key columns over ``with_key_row``: wrong types count as empty text or 0, absent ones as null."""
+    row = F.col(KEY_ROW)
     fields = []
     for name, kind in criteria.partition_keys:
         attribute = row[name]

@@ -2,7 +2,8 @@
 
 A key may hold a third of all rows, so its rows are never brought together. The line of a key is cut into slices; what
 a slice needs from before its start is summed up per slice first, carried forward over the (few) slices of the key,
-and added to the slice as one extra row. After that every (key, slice) is a group of its own.
+and added to the slice as one extra row. After that every (key, slice) is a group of its own. Where the number of slices
+grows with the rows, as in running sums by position, the slices are carried forward over spans of slices in the same way.
 """
 
 from __future__ import annotations
@@ -12,26 +13,42 @@ from pyspark.sql import functions as F
 
 _CARRIED = "_carried"  # 0: the row carried into a slice, 1: a row of the slice
 
+# Slices of a span, over which sums are carried in one task.
+SPAN_SLICES = 1_000
+
 
 def _so_far(keys: list[str], slice_name: str):
     return Window.partitionBy(*keys).orderBy(slice_name).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _sum_before(totals: DataFrame, keys: list[str], span_by: Column | None) -> DataFrame:
+    """Slices with ``_amount``, the total of a key's earlier slices; those without any are left out."""
+    if span_by is None:
+        carried = totals.withColumn("_amount", F.sum("_total").over(_so_far(keys, "_slice")))
+        return carried.where(F.col("_amount").isNotNull()).select(*keys, "_slice", "_amount")
+    spanned = totals.withColumn("_span", span_by)
+    spans = spanned.groupBy(*keys, "_span").agg(F.sum("_total").alias("_total"))
+    before = spans.withColumn("_total", F.sum("_total").over(_so_far(keys, "_span"))).where(F.col("_total").isNotNull())
+    line = spanned.withColumn(_CARRIED, F.lit(1)).unionByName(
+        before.withColumn(_CARRIED, F.lit(0)), allowMissingColumns=True)
+    within = Window.partitionBy(*keys, "_span").orderBy(_CARRIED, "_slice").rowsBetween(Window.unboundedPreceding, -1)
+    summed = line.withColumn("_amount", F.sum("_total").over(within))
+    return summed.where((F.col(_CARRIED) == 1) & F.col("_amount").isNotNull()).select(*keys, "_slice", "_amount")
+
+
 def running_sum(
-    df: DataFrame, keys: list[str], order: list[str], slice_by: Column, amount: Column, name: str = "running"
+    df: DataFrame, keys: list[str], order: list[str], slice_by: Column, amount: Column, name: str = "running",
+    span_by: Column | None = None,
 ) -> DataFrame:
     """Adds the sum of ``amount`` over a key's rows up to and including each row.
 
-    ``order`` must be unique within a key, and ``slice_by`` must rise (not strictly) along it.
+    ``order`` must be unique within a key, and ``slice_by`` must rise (not strictly) along it. ``span_by`` makes spans of
+    the column ``_slice`` and must rise along it too; without it a task carries the sum over all slices of a key.
     """
     rows = df.withColumn("_slice", slice_by).withColumn("_amount", amount)
     totals = rows.groupBy(*keys, "_slice").agg(F.sum("_amount").alias("_total"))
-    carried = totals.withColumn("_amount", F.sum("_total").over(_so_far(keys, "_slice"))).where(
-        F.col("_amount").isNotNull()
-    )
-    line = rows.withColumn(_CARRIED, F.lit(1)).unionByName(
-        carried.select(*keys, "_slice", "_amount", F.lit(0).alias(_CARRIED)), allowMissingColumns=True
-    )
+    carried = _sum_before(totals, keys, span_by).withColumn(_CARRIED, F.lit(0))
+    line = rows.withColumn(_CARRIED, F.lit(1)).unionByName(carried, allowMissingColumns=True)
     within = Window.partitionBy(*keys, "_slice").orderBy(_CARRIED, *order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

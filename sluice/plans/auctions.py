@@ -8,8 +8,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timing import interval
-from ..operators.emit_once import emit_once
+from ..operators.emit_once import emit_once, seller_salts
 from ..operators.windows import early_firings, hop_counts, peak_rows, session_counts
 from ..schemas import TIME, result_schema
 from ..sources.mapped import HOT_AUCTIONS
@@ -58,26 +57,30 @@ def q2_modulo(bid: DataFrame, divisors: Sequence[int] = HOT_AUCTIONS) -> DataFra
 
 
 def q3(auction: DataFrame, person: DataFrame, *, states: Sequence[str] = LOCAL_STATES,
-       category: int = LOCAL_CATEGORY, key_type: str = "bigint", within: str | None = None) -> DataFrame:
+       category: int = LOCAL_CATEGORY, key_type: str = "bigint") -> DataFrame:
     """Who sells locally in a category, over all history.
 
-    On streams both sides are kept as state for good, as the query asks, unless ``within`` bounds how far apart the
-    person and the auction may appear. In batch a hot seller is split by AQE's skew join.
+    On streams both sides are kept as state for good, as the query asks.
     """
     items = auction.where(F.col("category") == category)
-    return join_sellers(items, person.where(F.col("state").isin(*states)), key_type=key_type, within=within)
+    return join_sellers(items, person.where(F.col("state").isin(*states)), key_type=key_type)
 
 
-def join_sellers(items: DataFrame, sellers: DataFrame, *, key_type: str = "bigint",
-                 within: str | None = None) -> DataFrame:
-    """Items with their sellers' details; ``within`` needs the time on both sides."""
-    times = [] if within is None else [F.col(TIME).alias("seen")]
-    named = sellers.select(F.col("id").cast(key_type).alias("person_id"), "name", "city", "state", *times)
-    sold = items.select(F.col("seller").cast(key_type).alias("seller"), "id", *([TIME] if within else []))
-    same = F.col("seller") == F.col("person_id")
-    if within is not None:
-        same &= (F.col(TIME) >= F.col("seen") - interval(within)) & (F.col(TIME) <= F.col("seen") + interval(within))
-    return sold.join(named, same).select("name", "city", "state", "id")
+def join_sellers(items: DataFrame, sellers: DataFrame, *, key_type: str = "bigint") -> DataFrame:
+    """Items with their sellers' details."""
+    named = sellers.select(F.col("id").cast(key_type).alias("person_id"), "name", "city", "state")
+    sold = items.select(F.col("seller").cast(key_type).alias("seller"), "id")
+    return _of_seller(sold, named, F.col("seller") == F.col("person_id"), "id").select("name", "city", "state", "id")
+
+
+def _of_seller(items: DataFrame, persons: DataFrame, same, deal_by: str) -> DataFrame:
+    """Items joined with their persons. In batch AQE splits a hot seller; on streams its items are dealt over salts."""
+    if not items.isStreaming:
+        return items.join(persons, same)
+    salts = seller_salts(items.sparkSession)
+    dealt = items.withColumn("_salt", F.pmod(F.xxhash64(deal_by), F.lit(salts)).cast("int"))
+    spread = persons.withColumn("_person_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(spread, same & (F.col("_salt") == F.col("_person_salt")))
 
 
 def q3_incremental(auction: DataFrame, person: DataFrame, *, states: Sequence[str] = LOCAL_STATES,
@@ -113,9 +116,9 @@ def q8(person: DataFrame, auction: DataFrame, *, size: str = "10 seconds") -> Da
 def q8_pairs(person: DataFrame, auction: DataFrame, *, size: str = "10 seconds") -> DataFrame:
     """Every pair of a person and an auction of theirs within the same window."""
     persons = person.select("id", "name", F.window(TIME, size).alias("w"))
-    items = auction.select("seller", "reserve", F.window(TIME, size).alias("seller_w"))
+    items = auction.select("seller", "reserve", F.col("id").alias("item"), F.window(TIME, size).alias("seller_w"))
     same = (F.col("id") == F.col("seller")) & (F.col("w") == F.col("seller_w"))
-    return persons.join(items, same).select("id", "name", "reserve")
+    return _of_seller(items, persons, same, "item").select("id", "name", "reserve")
 
 
 def q11(bid: DataFrame, *, gap: str = "10 seconds") -> DataFrame:

@@ -230,7 +230,7 @@ def _records(spark, folder):
     }
 
 
-_OVER_TOPICS = {"q0": {}, "q1": {}, "q2": {}, "q3": {}, "q5": HOP, "q8": {"size": TUMBLE}, "q11": {"gap": GAP}}
+OVER_TOPICS = {"q0": {}, "q1": {}, "q2": {}, "q3": {}, "q5": HOP, "q8": {"size": TUMBLE}, "q11": {"gap": GAP}}
 
 
 def _over_topics(name, parameters, pushed):
@@ -241,7 +241,7 @@ def _over_topics(name, parameters, pushed):
     return run
 
 
-for _name, _parameters in _OVER_TOPICS.items():
+for _name, _parameters in OVER_TOPICS.items():
     query(_over_topics(_name, _parameters, True))
 query(_over_topics("q5", HOP, False))
 query(_over_topics("q3", {}, False))
@@ -267,6 +267,28 @@ def scan_missing_attribute(spark, folder):
     return kept.select(F.get_json_object("value", "$.event_id").cast("bigint").alias("event_id"))
 
 
+@query
+def scan_tombstones(spark, folder):
+    """Every seventh record is a tombstone: a scan with criteria leaves them out."""
+    records = mapped.bid_records(spark, folder)
+    gone = records.withColumn("value", F.when(F.col("offset") % 7 != 0, F.col("value")))
+    kept = scan_records(gone, TopicCriteria(projections=("price",)))
+    return kept.select("partition", "offset", F.get_json_object("value", "$.price").alias("price"))
+
+
+@query
+def scan_value_kinds(spark, folder):
+    """Pattern selection over attributes of all kinds of JSON values, told apart by the event number."""
+    events = table(spark, folder, "events")
+    kinds = [F.to_json(F.struct("event_id", value.alias("a")), {"ignoreNullFields": "false"}) for value in (
+        F.col("event_id") % 8 == 0, F.lit(None).cast("string"), F.array("event_id"), F.col("event_type"))]
+    records = events.select(
+        F.lit("events").alias("topic"), F.lit(None).cast("string").alias("key"),
+        F.element_at(F.array(*kinds), (F.col("event_id") % 4 + 1).cast("int")).alias("value"))
+    kept = scan_records(records, TopicCriteria(selections=(Selection("a", pattern="^(true|null|click|)$"),)))
+    return kept.select(F.get_json_object("value", "$.event_id").cast("bigint").alias("event_id"))
+
+
 @query
 def typed_source(spark, folder):
     return topics.typed_topic(mapped.person_records(spark, folder), "person")
@@ -349,6 +371,23 @@ def deal_out(spark, folder):
     return dealt.select("partition", "offset", "slot", "virtual")
 
 
+@query
+def by_virtual_partition(spark, folder):
+    """Records moved to their virtual partition, and whether they lie there."""
+    owned = layout.deal_out(mapped.bid_records(spark, folder), "bid", SELECTED).where(F.col("virtual").isNotNull())
+    moved = layout.by_virtual_partition(owned, SELECTED)
+    return moved.select("partition", "offset", "virtual", (F.spark_partition_id() == F.col("virtual")).alias("in_place"))
+
+
+@query
+def virtuals_by_origin(spark, folder):
+    """The virtual partitions of every real partition that holds bids."""
+    mapping = layout.virtual_partitions(spark, "bid", SELECTED.num_sources, SELECTED.num_partitions)
+    used = mapped.bid_records(spark, folder).select(F.col("partition").alias("origin")).distinct()
+    found = layout.virtuals_by_origin(mapping.join(used, "origin", "left_semi"))
+    return found.select("origin", F.explode("virtuals").alias("virtual"))
+
+
 # ---- routing -----------------------------------------------------------------------------------------------------
 
 RULES = (
@@ -519,6 +558,23 @@ def variant_compare(spark, folder):
     return compared.select("query", "parallelism", "throughput", "role", *rounded)
 
 
+@query
+def usage_by_pattern(spark, folder):
+    """Usage where the replica is part of the service name and the roles are patterns of it."""
+    samples = mapped.metric_samples(spark, folder)
+    named = samples.withColumn("service", F.concat("service", F.lit("-"), F.col("replica").cast("string")))
+    usage = metrics.role_usage(named, {"processing": "^task", "storage": "^storage-[0-9]+$", "proxy": "prox"})
+    return usage.select("run_id", "variant", "role", F.round("usage", 6).alias("usage"))
+
+
+@query
+def stacked_series(spark, folder):
+    """Totals per service and over all, in one long frame."""
+    hourly = mapped.metric_samples(spark, folder).withColumn("ts", F.window("ts", "1 hour")["start"])
+    return metrics.stacked(
+        metrics.totals(hourly, ["service"]), metrics.totals(hourly).withColumn("service", F.lit("all")))
+
+
 @query
 def job_role_means(spark, folder):
     means = metrics.job_role_means(

@@ -25,8 +25,9 @@ WARM_UP_SAMPLES = 10
 RATE_WINDOW = "30 seconds"
 VARIANTS = ("plain", "pushed")
 
-# The service of every role whose core use is reported.
-ROLE_SERVICES = {"processing": "taskmanager", "storage": "storage", "proxy": "proxy"}
+# The service names of every role whose core use is reported, and of the role whose network use is.
+ROLE_SERVICES = {"processing": "^taskmanager$", "storage": "^storage$", "proxy": "^proxy$"}
+RECEIVER = "processing"
 
 
 def instant_rate(samples: DataFrame, series: Sequence[str], *, time: str = "ts", value: str = "value",
@@ -130,13 +131,16 @@ def above_floor(samples: DataFrame, *, metric: str = "tput", ratio: float = FLOO
 RUN = ("run_id", "query", "parallelism", "throughput", "variant")
 
 
-def role_usage(samples: DataFrame) -> DataFrame:
-    """Core use per role and received bytes per second of a run: means per replica, summed over the replicas."""
+def role_usage(samples: DataFrame, roles: dict[str, str] = ROLE_SERVICES, receiver: str = RECEIVER) -> DataFrame:
+    """Core use per role and received bytes per second of a run: means per replica, summed over the replicas.
+
+    ``roles`` maps roles to patterns of service names, for series that bear the number of their replica in the name.
+    """
     role = F.lit(None).cast("string")
-    for name, service in ROLE_SERVICES.items():
-        cores = (F.col("metric") == "cpu_rate") & (F.col("service") == service)
+    for name, pattern in roles.items():
+        cores = (F.col("metric") == "cpu_rate") & F.col("service").rlike(pattern)
         role = F.when(cores, F.lit(name)).otherwise(role)
-    received = (F.col("metric") == "network_rate") & (F.col("service") == ROLE_SERVICES["processing"])
+    received = (F.col("metric") == "network_rate") & F.col("service").rlike(roles[receiver])
     role = F.when(received, F.lit("network")).otherwise(role)
     means = (
         samples.withColumn("role", role).where(F.col("role").isNotNull())

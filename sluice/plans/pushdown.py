@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.scan import Selection, TopicCriteria, scan_stats, scan_topics
+from ..operators.scan import Selection, TopicCriteria, compare_stats, scan_topics
 from ..schemas import TIME, topic_schema
 from ..sources.mapped import HOT_AUCTIONS
 from . import auctions
@@ -75,8 +75,8 @@ def _selected(rows: DataFrame, criteria: TopicCriteria) -> DataFrame:
 
 def savings(records: dict[str, DataFrame], queries=tuple(NEEDS)) -> DataFrame:
     """Per query and topic: records and bytes read, kept and saved by the pushdown."""
-    reports = [
-        scan_stats(records[topic], criteria).withColumn("query", F.lit(query))
-        for query in queries for topic, criteria in NEEDS[query].items()
-    ]
-    return reduce(DataFrame.unionByName, reports)
+    by_topic: dict[str, dict[str, TopicCriteria]] = {}
+    for query in queries:
+        for topic, criteria in NEEDS[query].items():
+            by_topic.setdefault(topic, {})[query] = criteria
+    return reduce(DataFrame.unionByName, [compare_stats(records[t], criteria) for t, criteria in by_topic.items()])

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scan import Selection, TopicCriteria, scan_topic
-from ..plans import auctions, catalog, wordcount
+from ..plans import auctions, catalog, pushdown, wordcount
 from ..schemas import topic_schema
 from ..session import shared_folder, stream_session
-from ..sources import mapped, topics
+from ..sources import mapped, sinks, topics
 from ..sources.mapped import HOT_AUCTIONS, table
 from ..sources.topics import WATERMARK_DELAY, with_watermark
 from . import jobs
@@ -94,6 +94,28 @@ def stream_q2(spark, folder, out):
     return scan_topic(records, topic_schema("bid", "ltz"), criteria, on_malformed="drop")
 
 
+def _published_topic(rows, topic, out):
+    """A topic as stored JSON records, closed by a row beyond all others, and read as a stream."""
+    ended = rows.unionByName(jobs.closing_row(rows))
+    path = f"{out}/{topic}"
+    sinks.keyed_records(ended, topic).withColumn("topic", F.lit(topic)).write.parquet(path)
+    return topics.file_records(rows.sparkSession, path, stream=True, file_format="parquet")
+
+
+def _over_topics(name, parameters):
+    def run(spark, folder, out):
+        make = {"bid": mapped.bid, "auction": mapped.auction, "person": mapped.person}
+        records = {topic: _published_topic(make[topic](spark, folder), topic, out) for topic in pushdown.NEEDS[name]}
+        return pushdown.over_topics(name, records, on_malformed="drop", **parameters)
+
+    run.__name__ = f"stream_pushed_{name}"
+    return run
+
+
+for _name in ("q3", "q5", "q8", "q11"):
+    stream_query(_over_topics(_name, catalog.OVER_TOPICS[_name]))
+
+
 @stream_query
 def stream_q3(spark, folder, out):
     return auctions.q3(_auction(spark, folder), _person(spark, folder, out))

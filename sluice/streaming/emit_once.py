@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.emit_once import PERSON_FIELDS
+from ..operators.emit_once import PERSON_FIELDS, seller_salts
 from ..operators.windows import count_up
 from ..schemas import TIME
 from .precombine import combine_copies
@@ -18,9 +18,6 @@ from .precombine import combine_copies
 DETAILS = "name string, city string, state string"
 OUTPUT = f"{DETAILS}, id bigint, copies bigint"
 
-# A seller's auctions are spread over this many state keys, each holding a copy of the seller.
-SELLER_SALTS = 4
-
 
 def _event_order(row: Row) -> tuple:
     """By time; persons before auctions; versions of one instant from least to greatest, nulls least."""
@@ -80,12 +77,13 @@ class EmitOnceJoin(StatefulProcessor):
 
 
 def emit_once_stream(auction: DataFrame, person: DataFrame, *, key_type: str = "bigint",
-                     salts: int = SELLER_SALTS) -> DataFrame:
+                     salts: int | None = None) -> DataFrame:
     """``name, city, state, id``, each auction once.
 
     An auction id always falls on the same salt, so the waiting ids stay a set; every salt knows the seller. Copies of
     an auction are counted per task before they are shuffled.
     """
+    salts = salts or seller_salts(auction.sparkSession)
     items = combine_copies(auction.select(
         F.col("seller").cast(key_type).alias("seller"),
         F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"),

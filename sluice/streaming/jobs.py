@@ -70,12 +70,15 @@ def closed(rows: DataFrame, folder: str, topic: str) -> DataFrame:
     Its numbers are -1, so that no join's null filter takes it out below the watermark; its own window never closes.
     Only for streams that are read as one micro-batch: a later batch would be late.
     """
-    spark = rows.sparkSession
-    value = lambda f: CLOSING if f.name == TIME else -1 if isinstance(f.dataType, T.NumericType) else None
-    end = spark.range(1).select(*[F.lit(value(f)).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
     path = f"{folder}/closing-{topic}"
-    end.write.parquet(path)
-    return rows.unionByName(spark.readStream.schema(rows.schema).parquet(path))
+    closing_row(rows).write.parquet(path)
+    return rows.unionByName(rows.sparkSession.readStream.schema(rows.schema).parquet(path))
+
+
+def closing_row(rows: DataFrame) -> DataFrame:
+    value = lambda f: CLOSING if f.name == TIME else -1 if isinstance(f.dataType, T.NumericType) else None
+    return rows.sparkSession.range(1).select(*[
+        F.lit(value(f)).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
 
 
 def zoned(rows: DataFrame) -> DataFrame:

@@ -94,8 +94,8 @@ KEYS = TopicCriteria(partition_keys=(("s", "string"), ("l", "long"), ("n", "int"
 
 def test_keys_from_json(spark):
     bodies = ['{"s":"OR","l":1007}', '{"s":5,"l":"x","n":null}', '{"l":1007.5}', '{"n":4294967297}', "{}"]
-    df = values(spark, bodies, "string").withColumnRenamed("v", "value")
-    from sluice.operators.scan import key_fields
+    from sluice.operators.scan import key_fields, with_key_row
+    df = with_key_row(values(spark, bodies, "string").withColumnRenamed("v", "value"), KEYS)
     fields = key_fields(KEYS)
     assert column(df, fields[0][0]) == ["OR", "", None, None, None]
     assert column(df, fields[1][0]) == [1007, 0, 0, None, None]

@@ -57,6 +57,11 @@ def test_record_scans_parse_once(spark, stored_bids):
         assert "bidder" not in plan and "ReadSchema: struct<value:string>" in plan
 
 
+@pytest.mark.parametrize(("name", "topics_read"), [("deal_out", 1), ("pushdown_savings", 3), ("scan_savings", 1)])
+def test_a_topic_is_parsed_once(spark, small, name, topics_read):
+    assert plan_of(CATALOG[name](spark, small)).count("from_json(") == topics_read
+
+
 def test_hot_items_read_their_bids_once(spark, small):
     assert "ReusedExchange" in plan_of(CATALOG["q5"](spark, small))
 

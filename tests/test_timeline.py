@@ -22,12 +22,14 @@ def series(spark, n=400, seed=3):
 
 def test_running_sum(spark):
     rows, df = series(spark)
-    got = {r.id: r.total for r in running_sum(df, ["key"], ["at"], time_slice("at", "6 hours"), F.col("v"), "total").collect()}
     sums, want = {}, {}
     for i, key, _, v in rows:
         sums[key] = sums.get(key, 0) + v
         want[i] = sums[key]
-    assert got == want
+    for span in (None, time_slice("_slice", "2 days")):
+        summed = running_sum(df, ["key"], ["at"], time_slice("at", "6 hours"), F.col("v"), "total", span_by=span)
+        assert summed.columns == [*df.columns, "total"]
+        assert {r.id: r.total for r in summed.collect()} == want
 
 
 def test_previous_row(spark):

@@ -17,7 +17,7 @@ def test_two_inputs(spark, collected):
 
 
 def test_running(spark, collected):
-    for width in (1, 2, 100):
-        got = collected(wordcount.wordcount_running(lines(spark), "n", lines_per_slice=width))
+    for width, span in ((1, 1), (1, 2), (1, 100), (2, 1), (100, 1)):
+        got = collected(wordcount.wordcount_running(lines(spark), "n", lines_per_slice=width, slices_per_span=span))
         assert got == [(0, 0, "the", 1), (0, 1, "cat", 1), (0, 2, "the", 2), (0, 3, "cat", 2), (1, 0, "a_b", 1),
                        (1, 1, "ber", 1), (4, 0, "cat", 3)]
