@@ -141,7 +141,8 @@ def matches(stored: DataFrame, wanted: DataFrame, slop: int = 0) -> DataFrame:
     spark = stored.sparkSession
     rare = stored.where("term IS NOT NULL").groupBy("term").agg(F.sum(F.size("places")).alias("df"))
     offsets = wanted.select("phrase", F.posexplode("terms").alias("offset", "term"))
-    ordered = offsets.join(rare, "term", "left").groupBy("phrase").agg(
+    # No more terms than the block has words; a common term stands in many phrases, which a join by term would gather.
+    ordered = offsets.join(F.broadcast(rare), "term", "left").groupBy("phrase").agg(
         F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "offset", "term"))).alias("t"))
     # Of one phrase there are as many terms as it is long, so this list is as long as the phrases are.
     listed = [([(t.term, t.offset) for t in r.t], r.items, len(r.t))
