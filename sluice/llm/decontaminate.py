@@ -192,11 +192,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int
         vocabulary = sorted(r.term for r in part.select(F.explode("terms").alias("term")).distinct().collect())
         found.append(matches(written(index(docs, vocabulary, text), "postings"), part, slop))
     if blocks > 1:
-        # Equal rows share a key and a result; each stands in every block once.
+        # Equal rows share a key and a result: each block brings one row a key, however many copies there are.
+        key = ["doc_id", "k1", "k2"]
+        once = [part.groupBy(*key).agg(
+            *[F.first(c).alias(c) for c in ("n_words", "places", "items")], F.count("*").alias("n")) for part in found]
         union = lambda column: F.array_sort(F.array_distinct(F.flatten(F.collect_list(column)))).alias(column)
-        merged = reduce(DataFrame.unionByName, found).groupBy("doc_id", "k1", "k2").agg(
-            F.max("n_words").alias("n_words"), union("places"), union("items"), F.count("*").alias("n"))
-        found = [merged.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / blocks).cast("int"))))]
+        merged = reduce(DataFrame.unionByName, once).groupBy(*key).agg(
+            F.max("n_words").alias("n_words"), union("places"), union("items"), F.max("n").cast("int").alias("n"))
+        found = [merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))]
     return found[0].select(
         "doc_id", "k1", "k2", "n_words", F.size("places").cast("long").alias("n_hit"), "items")
 
