@@ -1,7 +1,8 @@
 """URL filtering by mined association rules.
 
 Hand-written rules (host and path prefix, the longest wins) judge first. For the rest FP-growth mines combinations of URL
-tokens from labelled pages; combinations that imply a block with enough support and confidence become rules. A rule is
+tokens from labelled pages; combinations of any length that imply a block on enough pages, the same number for every
+size of the input, and with enough confidence become rules, unless a rule of one token less covers them. A rule is
 indexed under its rarest token: a URL meets only the rules of its own tokens and fits one if it has all tokens of it.
 Only DataFrame functions and Spark's FP-growth are used.
 
@@ -20,11 +21,9 @@ from sluice.llm.common import ascii_lower, written
 #: Verdict, host and path prefix of the hand-written rules.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-MIN_SUPPORT = 0.002
-MIN_PAGES = 20  # a rule rests on this many labelled pages at least, however few there are
+MIN_PAGES = 20  # a rule rests on this many blocked labelled pages at least, however few or many there are
 MIN_CONFIDENCE = 0.9
-MAX_TOKENS = 3
-BLOCK, ALLOW = "verdict=block", "verdict=allow"
+BLOCK = "verdict=block"
 
 
 def host_of(url: Column) -> Column:
@@ -59,24 +58,33 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda x: ~x.endswith("=")))
 
 
-def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-                max_tokens: int = MAX_TOKENS, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``labelled`` has ``url`` and ``block`` (boolean). Gives ``rule, tokens, rarest, confidence, support``."""
-    items = F.array_append(tokens_of(F.col("url")), F.when(F.col("block"), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))
+def mined_rules(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``labelled`` has ``url`` and ``block`` (boolean). Gives ``rule, tokens, rarest, confidence, pages``."""
+    tokens = tokens_of(F.col("url"))
+    items = F.when(F.col("block"), F.array_append(tokens, F.lit(BLOCK))).otherwise(tokens)
     baskets = written(labelled.where(F.col("block").isNotNull()).select(items.alias("items")), "url-baskets")
-    support = min(1.0, max(min_support, min_pages / max(1, baskets.count())))
+    # Half a page less, since the product of share and pages is rounded up.
+    support = min(1.0, (min_pages - 0.5) / max(1, baskets.count()))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(
-        (F.get("consequent", F.lit(0)) == BLOCK) & (F.size("antecedent") <= max_tokens)
-        & ~F.array_contains("antecedent", ALLOW)).select(
-        F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("token"), "freq")
-    each = rules.select("tokens", "confidence", "support", F.explode("tokens").alias("token")).join(single, "token")
+    said = F.array_contains("items", BLOCK)
+    sets = written(model.freqItemsets.where(F.col("freq") >= min_pages).select(
+        F.array_sort(F.array_remove("items", BLOCK)).alias("tokens"), said.alias("said"), "freq"), "url-itemsets")
+    blocked = sets.where("said AND size(tokens) > 0").select("tokens", F.col("freq").alias("pages"))
+    accepted = written(
+        blocked.join(sets.where("NOT said"), "tokens").withColumn("confidence", F.col("pages") / F.col("freq"))
+        .where(F.col("confidence") >= min_confidence).select("tokens", "confidence", "pages"), "url-accepted")
+    # A rule that is one token longer than another fits no page that the other does not.
+    shorter = F.transform("tokens", lambda x: F.array_remove("tokens", x))
+    covered = accepted.select("tokens", F.explode(shorter).alias("less")).join(
+        accepted.select(F.col("tokens").alias("less")), "less").select("tokens").distinct()
+    rules = accepted.join(covered, "tokens", "left_anti")
+    single = sets.where("NOT said AND size(tokens) = 1").select(F.get("tokens", F.lit(0)).alias("token"), "freq")
+    each = rules.select("tokens", "confidence", "pages", F.explode("tokens").alias("token")).join(single, "token")
     return written(
         each.groupBy("tokens").agg(
             F.min_by("token", F.struct("freq", "token")).alias("rarest"),
-            F.max("confidence").alias("confidence"), F.max("support").alias("support"))
-        .select(F.array_join("tokens", " ").alias("rule"), "tokens", "rarest", "confidence", "support"), "url-rules")
+            F.max("confidence").alias("confidence"), F.max("pages").alias("pages"))
+        .select(F.array_join("tokens", " ").alias("rule"), "tokens", "rarest", "confidence", "pages"), "url-rules")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
