@@ -134,11 +134,47 @@ def _merkle(levels: int = 6, top_levels: int = 4) -> str:
             "SELECT d.doc_id, leaf, sub.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, digest AS folded_root, "
             f"digest = r.h AS verified FROM g{top_levels} g JOIN d ON g.rid = d.rid JOIN l0 ON l0.rid = d.rid JOIN sub ON sub.s = l0.s, r")
 
+JACCARD_JOIN = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {_words(_lower("coalesce(text, '')"))} AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[i:i + 2], ' ') AS k
+      FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+z AS (SELECT rid, n, k FROM s JOIN n USING (rid)),
+p AS (SELECT a.rid AS x, b.rid AS y FROM z a JOIN z b ON a.k = b.k AND a.rid <> b.rid
+        AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+      GROUP BY a.rid, b.rid, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r AS (SELECT rid, rid AS o FROM d UNION SELECT r.rid, p.y FROM r JOIN p ON r.o = p.x),
+c AS (SELECT r.rid, min(o.doc_id) AS component_id FROM r JOIN d o ON r.o = o.rid GROUP BY r.rid)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (rid) JOIN c USING (rid)
+"""
+
+PHRASES = rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang,
+             unnest(string_split_regex({_lower("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM t),
+g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 5)) AS k)),
+f AS (SELECT lang, w[i:i + k - 1] AS w, k, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+c AS (SELECT f.lang, f.w, f.f AS a, cut, l.f AS l, r.f AS r,
+             CAST((2000000 * CAST(f.f AS HUGEINT)) // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1) f
+      JOIN f l ON l.lang = f.lang AND l.w = f.w[1:cut] JOIN f r ON r.lang = f.lang AND r.w = f.w[cut + 1:]),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, cut) = 1),
+u AS (SELECT lang, w[i:i + m - 1] AS w, max(f) AS f
+      FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2)) GROUP BY ALL),
+e AS (SELECT b.*, array_to_string(b.w, ' ') AS phrase FROM b LEFT JOIN u ON b.lang = u.lang AND b.w = u.w
+      WHERE u.f IS NULL OR 100 * u.f < 80 * b.a),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM e)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 
 ORACLE = {
     "op4_quality_rules": QUALITY_RULES,
     "op6_line_dedup": LINE_DEDUP,
     "op7_decontamination": DECONTAMINATION,
     "op9_substring_dedup": SUBSTRING_DEDUP,
+    "op11_jaccard_join": JACCARD_JOIN,
     "op12_merkle_manifest": _merkle(),
+    "op13_phrase_collocations": PHRASES,
 }

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import (
-    decontaminate, license_scan, line_dedup, merkle, packing, quality_classifier, quality_rules, simhash, substring_dedup,
-    token_counts, url_filter,
+    collocations, decontaminate, jaccard_join, license_scan, line_dedup, merkle, packing, quality_classifier,
+    quality_rules, simhash, substring_dedup, token_counts, url_filter,
 )
 from sluice.llm.common import table, written
 from sluice.session import shared_folder
@@ -73,10 +73,19 @@ def url_verdicts(spark, folder) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
 
 
+def shingle_groups(spark, folder) -> DataFrame:
+    found = jaccard_join.near_groups(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def verified_rows(spark, folder) -> DataFrame:
     return merkle.verified(table(spark, folder, "documents"))
 
 
+def phrases(spark, folder) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": licenses,
     "op2_simhash": near_duplicates,
@@ -88,5 +97,7 @@ QUERIES = {
     "op8_best_fit_packing": packed_sequences,
     "op9_substring_dedup": repeated_passages,
     "op10_url_filter": url_verdicts,
+    "op11_jaccard_join": shingle_groups,
     "op12_merkle_manifest": verified_rows,
+    "op13_phrase_collocations": phrases,
 }

@@ -166,3 +166,52 @@ def merkle(rows):
             for left, right in path + top:
                 end = sha(left + end + right)
             yield (row[0], digest, subroot, root, sha("".join(a + b for a, b in path + top)), end, end == root)
+
+
+def jaccard_groups(docs, width=3, part=9, whole=10):
+    words = [tuple(BLANK_WORD.findall(lower(t))) for _, t in docs]
+    sets = [{w[i: i + width] for i in range(max(1, len(w) - width + 1))} if w else set() for w in words]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            few, many = sorted((len(a), len(sets[j])))
+            if a and whole * few >= part * many and whole * len(a & sets[j]) >= part * len(a | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (name, _) in enumerate(docs):
+        if name is not None:
+            least[find(i)] = min(least.get(find(i), name), name)
+    for i, (name, _) in enumerate(docs):
+        yield name, len(sets[i]), least.get(find(i))
+
+
+def phrases(docs, least=30, top=2000):
+    """(lang, text) to (lang, rank, phrase, a, l, r, n, score)."""
+    counts, n = defaultdict(Counter), Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            for k in range(1, 5):
+                counts[lang].update(tuple(words[i: i + k]) for i in range(len(words) - k + 1))
+    for lang, f in counts.items():
+        frequent = {w: c for w, c in f.items() if c >= least and len(w) > 1}
+        held = Counter()
+        for w, c in frequent.items():
+            for k in range(2, len(w)):
+                for i in range(len(w) - k + 1):
+                    held[w[i: i + k]] = max(held[w[i: i + k]], c)
+        rows = []
+        for w, a in frequent.items():
+            if not 100 * held[w] >= 80 * a:
+                score, k = min((2_000_000 * a // (f[w[:k]] + f[w[k:]]), k) for k in range(1, len(w)))
+                rows.append((-score, -a, " ".join(w).encode(), f[w[:k]], f[w[k:]]))
+        for rank, (score, a, phrase, l, r) in enumerate(sorted(rows)[:top], 1):
+            yield lang, rank, phrase.decode(), -a, l, r, n[lang], -score
