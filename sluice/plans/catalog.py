@@ -215,11 +215,12 @@ def scan_markers(spark, folder):
     return kept.select("topic", "partition", "offset", "key", F.col("value").isNull().alias("marker"))
 
 
+SAVINGS_CRITERIA = TopicCriteria(selections=(Selection("auction", HOT_AUCTIONS),), projections=("auction", "bidder"))
+
+
 @query
 def scan_savings(spark, folder):
-    return scan_stats(mapped.bid_records(spark, folder), TopicCriteria(
-        selections=(Selection("auction", HOT_AUCTIONS),), projections=("auction", "bidder"),
-    ))
+    return scan_stats(mapped.bid_records(spark, folder), SAVINGS_CRITERIA)
 
 
 def _records(spark, folder):

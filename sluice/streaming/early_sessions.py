@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -11,83 +12,112 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.timing import duration
+from ..operators.windows import count_up
 from ..plans.auctions import FIRE_EVERY
 from ..schemas import TIME
 from ..sources.topics import WATERMARK_DELAY
-from .precombine import combine_spans
+from .precombine import combine_pieces, instants
 
-SESSION = "first bigint, last bigint, num bigint, since bigint"
+START, SESSION = "first bigint", "last bigint, num bigint, since bigint"
 
 
-def firings(num: int, since: int, added: int, every: int) -> tuple[list[int], int]:
-    """Counts reported while ``added`` rows join a session of ``num`` rows, ``since`` of them after its last report."""
+def fired(num: int, since: int, added: int, every: int) -> tuple[range, int]:
+    """Counts reported while ``added`` rows join a session of ``num`` rows, ``since`` of them after its last report, and
+    how many rows the session then has after its last report."""
     if not added:
-        return [], since
+        return range(0), since
     first = max(every - since, 1)
     if added < first:
-        return [], since + added
-    reported = list(range(num + first, num + added + 1, every))
+        return range(0), since + added
+    reported = range(num + first, num + added + 1, every)
     return reported, num + added - reported[-1]
 
 
+def firings(num: int, since: int, added: int, every: int) -> tuple[list[int], int]:
+    """``fired`` with the counts as a list."""
+    reported, since = fired(num, since, added, every)
+    return list(reported), since
+
+
 class EarlySessions(StatefulProcessor):
-    """State per key: the open sessions. A timer at the earliest end closes the sessions that the watermark passed."""
+    """State per key: the open sessions by their start. A timer at the earliest end closes what the watermark passed.
+
+    Rows come as pieces of less than a gap, so all rows of a piece fall into one session. Pieces of one grain of time are
+    added at once where their first row already decides the session; only where later rows reach another session are
+    they unpacked and taken instant by instant, as which row made a count complete then depends on the order.
+    """
 
     def __init__(self, key: str, gap_micros: int, every: int):
         self.key, self.gap, self.every = key, gap_micros, every
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", SESSION)
-
-    def _store(self, sessions: list[tuple], before: int | None) -> None:
-        if sessions:
-            self.open.put(sessions)
-        else:
-            self.open.clear()
-        after = self._alarm(sessions)
-        if after != before:
-            if before is not None:
-                self.handle.deleteTimer(before)
-            if after is not None:
-                self.handle.registerTimer(after)
+        self.open = handle.getMapState("open", START, SESSION)
+
+    def _sessions(self) -> list[tuple]:
+        return sorted((start[0], *state) for start, state in self.open.iterator())
+
+    def _store(self, before: list[tuple], after: list[tuple], alarm: int | None) -> None:
+        """Writes the sessions that changed, and the timer if its time did; ``alarm`` is the timer that is set."""
+        old, new = {s[0]: s[1:] for s in before}, {s[0]: s[1:] for s in after}
+        for start in old.keys() - new.keys():
+            self.open.removeKey((start,))
+        for start, state in new.items():
+            if old.get(start) != state:
+                self.open.updateValue((start,), state)
+        wanted = self._alarm(after)
+        if wanted != alarm:
+            if alarm is not None:
+                self.handle.deleteTimer(alarm)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
 
     def _alarm(self, sessions: list[tuple]) -> int | None:
         if not sessions:
             return None
         return -(-(min(s[1] for s in sessions) + self.gap) // 1000)
 
-    def _output(self, key, counts: list[int]) -> Iterator[Row]:
-        for count in counts:
-            yield Row(**{self.key: key[0], "bid_count": count})
+    def _output(self, key, counts: range) -> Iterator[Row]:
+        """The counts as one row, however many they are."""
+        if counts:
+            yield Row(**{self.key: key[0], "low": counts[0], "high": counts[-1], "step": counts.step})
+
+    def _touched(self, sessions: list[tuple], firsts: list[int], first: int, last: int) -> tuple[int, int]:
+        """The open sessions within a gap of the span, as places in ``sessions``; sessions lie over a gap apart."""
+        after = low = bisect_right(firsts, last + self.gap)
+        while low and sessions[low - 1][1] + self.gap >= first:
+            low -= 1
+        return low, after
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        sessions = [tuple(s) for s in self.open.get()]
-        before = self._alarm(sessions)
-        sessions.sort()
-        firsts, reported = [s[0] for s in sessions], []
-        for at, num in sorted((row["first"], row["num"]) for row in rows):
-            # Open sessions lie more than a gap apart, so an instant touches two of them at most.
-            after = before_it = bisect_right(firsts, at + self.gap)
-            while before_it and sessions[before_it - 1][1] + self.gap >= at:
-                before_it -= 1
-            touched = sessions[before_it:after]
-            held, since = sum(s[2] for s in touched), sum(s[3] for s in touched)
-            counts, since = firings(held, since, num, self.every)
-            reported += counts
-            first, last = min([at, *(s[0] for s in touched)]), max([at, *(s[1] for s in touched)])
-            sessions[before_it:after] = [(first, last, held + num, since)]
-            firsts[before_it:after] = [first]
-        self._store(sessions, before)
-        yield from self._output(key, reported)
+        before = self._sessions()
+        sessions, firsts = list(before), [s[0] for s in before]
+        grain = lambda row: row["first"] // self.gap
+        for _, pieces in groupby(sorted(rows, key=lambda row: row["first"]), key=grain):
+            pieces = list(pieces)
+            first, last = pieces[0]["first"], max(p["last"] for p in pieces)
+            if self._touched(sessions, firsts, first, first) == self._touched(sessions, firsts, first, last):
+                spans = [(first, last, sum(p["num"] for p in pieces))]
+            else:
+                spans = [(at, at, num) for at, num in instants([(p["first"], p["num"], p["steps"]) for p in pieces])]
+            for first, last, num in spans:
+                low, after = self._touched(sessions, firsts, first, last)
+                held = sessions[low:after]
+                counts, since = fired(sum(s[2] for s in held), sum(s[3] for s in held), num, self.every)
+                start, end = min([first, *(s[0] for s in held)]), max([last, *(s[1] for s in held)])
+                sessions[low:after] = [(start, end, sum(s[2] for s in held) + num, since)]
+                firsts[low:after] = [start]
+                yield from self._output(key, counts)
+        self._store(before, sessions, self._alarm(before))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
-        sessions = [tuple(s) for s in self.open.get()]
-        ended = [s for s in sessions if s[1] + self.gap <= now]
+        sessions = self._sessions()
         # The timer that went off is gone by itself.
-        self._store([s for s in sessions if s not in ended], None)
-        yield from self._output(key, [s[2] for s in ended])
+        self._store(sessions, [s for s in sessions if s[1] + self.gap > now], None)
+        for session in sessions:
+            if session[1] + self.gap <= now:
+                yield from self._output(key, range(session[2], session[2] + 1))
 
     def close(self) -> None:
         pass
@@ -97,14 +127,18 @@ def early_sessions_stream(bid: DataFrame, *, gap: str = "10 seconds", every: int
                           delay: str = WATERMARK_DELAY) -> DataFrame:
     """``bidder, bid_count``: a row for every ``every`` bids of a growing session and one when it ends.
 
-    ``bid`` needs no watermark of its own. Bids of one bidder at one instant are combined per task before they reach
-    the bidder's state; wider pieces could touch two sessions at once and hide which bid made a count complete.
+    ``bid`` needs no watermark of its own. Bids of one bidder in one gap-wide grain of time are one row per task, with
+    their instants as steps from the first; such a row is late only if its last bid is.
     """
     micros = int(duration(gap).total_seconds() * 1_000_000)
-    spans = combine_spans(bid, key, TIME, 1)
-    timed = spans.withColumn(TIME, F.timestamp_micros("last")).withWatermark(TIME, delay)
-    output = T.StructType([bid.schema[key], T.StructField("bid_count", T.LongType())])
-    return timed.groupBy(key).transformWithState(
+    pieces = combine_pieces(bid, key, TIME, micros)
+    timed = pieces.withColumn(TIME, F.timestamp_micros("last")).withWatermark(TIME, delay)
+    long = T.LongType()
+    output = T.StructType([bid.schema[key], *[T.StructField(c, long) for c in ("low", "high", "step")]])
+    reported = timed.groupBy(key).transformWithState(
         statefulProcessor=EarlySessions(key, micros, every), outputStructType=output, outputMode="Append",
         timeMode="EventTime",
     )
+    steps = F.call_function("div", F.col("high") - F.col("low"), F.col("step"))
+    counted = count_up(reported, F.lit(0).cast("bigint"), steps, "_step")
+    return counted.select(key, (F.col("low") + F.col("_step") * F.col("step")).alias("bid_count"))

@@ -12,16 +12,18 @@ from ..schemas import TIME
 CLOSING = "2200-01-01 00:00:00"
 
 
-def run_available(df: DataFrame, folder: str) -> None:
-    """Processes all available input in append mode into parquet files below ``folder``.
+def run_available(df: DataFrame, folder: str) -> list:
+    """Processes all available input in append mode into parquet files below ``folder``; its last progress updates.
 
     Progress and state live in the same folder, so running it again goes on where it stopped.
     """
-    (
+    query = (
         df.writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/rows")
-        .trigger(availableNow=True).start().awaitTermination()
+        .trigger(availableNow=True).start()
     )
+    query.awaitTermination()
+    return query.recentProgress
 
 
 def written(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
@@ -64,18 +66,11 @@ def stored_stream(spark: SparkSession, folder: str, table: str, schema: T.Struct
     return zoned(rows)
 
 
-def closed(rows: DataFrame, folder: str, topic: str) -> DataFrame:
-    """A stream that ends, with a closing row: it lies beyond all others, so that the last windows and sessions close.
+def closing_row(rows: DataFrame) -> DataFrame:
+    """A row that ends a topic: it lies beyond all others, so that the last windows and sessions close.
 
     Its numbers are -1, so that no join's null filter takes it out below the watermark; its own window never closes.
-    Only for streams that are read as one micro-batch: a later batch would be late.
     """
-    path = f"{folder}/closing-{topic}"
-    closing_row(rows).write.parquet(path)
-    return rows.unionByName(rows.sparkSession.readStream.schema(rows.schema).parquet(path))
-
-
-def closing_row(rows: DataFrame) -> DataFrame:
     value = lambda f: CLOSING if f.name == TIME else -1 if isinstance(f.dataType, T.NumericType) else None
     return rows.sparkSession.range(1).select(*[
         F.lit(value(f)).cast(f.dataType).alias(f.name) for f in rows.schema.fields])

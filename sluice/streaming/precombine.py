@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 # Rows held back for further combining before a task hands them on.
 HELD_ROWS = 200_000
+HELD_INSTANTS = 1_000_000
 
 
 def _folded(combine: Callable[[pa.Table], pa.Table]):
@@ -62,29 +64,58 @@ def combine_copies(rows: DataFrame) -> DataFrame:
     return rows.withColumn("copies", F.lit(1).cast("bigint")).mapInArrow(_folded(combine), schema)
 
 
-def combine_spans(rows: DataFrame, key: str, time: str, width_micros: int) -> DataFrame:
-    """``key, first, last, num``: rows per key, task and fixed-width piece of time.
+def combine_pieces(rows: DataFrame, key: str, time: str, width_micros: int) -> DataFrame:
+    """``key, first, last, num, steps``: rows per key, task and fixed-width piece of time.
 
-    ``first`` and ``last`` are epoch microseconds; rows of one piece lie less than ``width_micros`` apart.
+    ``first`` and ``last`` are epoch microseconds; ``steps`` holds what lies between one row and the next, from
+    ``first`` on, in as few bytes as the largest step needs: ``instants`` unpacks it.
     """
     schema = T.StructType([
-        rows.schema[key], T.StructField("first", T.LongType()), T.StructField("last", T.LongType()),
-        T.StructField("num", T.LongType()),
+        rows.schema[key], *[T.StructField(c, T.LongType()) for c in ("first", "last", "num")],
+        T.StructField("steps", T.BinaryType()),
     ])
+    names = schema.names
+
+    def combined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = table[key].combine_chunks()
+        codes = pc.fill_null(keys.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        at = table["at"].to_numpy()
+        piece = at // width_micros  # rounds down, also before 1970
+        order = np.lexsort((at, piece, codes))
+        codes, at, piece = codes[order], at[order], piece[order]
+        starts = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (piece[1:] != piece[:-1])]))
+        ends = np.append(starts[1:], len(at))
+        steps = [_packed(at[a:z]) for a, z in zip(starts.tolist(), ends.tolist())]
+        return pa.RecordBatch.from_arrays(
+            [keys.take(pa.array(order[starts])), pa.array(at[starts]), pa.array(at[ends - 1]), pa.array(ends - starts),
+             pa.array(steps, pa.binary())], names)
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size > HELD_INSTANTS:
+                yield combined(held)
+                held, size = [], 0
+        if held:
+            yield combined(held)
 
-    def combine(table: pa.Table) -> pa.Table:
-        rest = pc.subtract(table["first"], pc.multiply(pc.divide(table["first"], width_micros), width_micros))
-        # Division cuts towards zero; times before 1970 need the rest taken from below.
-        rest = pc.if_else(pc.less(rest, 0), pc.add(rest, width_micros), rest)
-        pieces = table.append_column("piece", pc.subtract(table["first"], rest))
-        spans = pieces.group_by([key, "piece"], use_threads=False).aggregate(
-            [("first", "min"), ("last", "max"), ("num", "sum")]
-        )
-        renamed = spans.rename_columns({"first_min": "first", "last_max": "last", "num_sum": "num"})
-        return renamed.select([key, "first", "last", "num"])
-
-    at = F.unix_micros(time)
-    singles = rows.where(F.col(time).isNotNull()).select(
-        key, at.alias("first"), at.alias("last"), F.lit(1).cast("bigint").alias("num")
-    )
-    return singles.mapInArrow(_folded(combine), schema)
+    singles = rows.where(F.col(time).isNotNull()).select(key, F.unix_micros(time).alias("at"))
+    return singles.mapInArrow(combine, schema)
+
+
+def _packed(at: np.ndarray) -> bytes:
+    steps = np.diff(at, prepend=at[0])
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(steps.max()) < 1 << 8 * w)
+    return steps.astype(f"<u{width}").tobytes()
+
+
+def instants(pieces: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
+    """The instants of pieces (``first``, ``num``, ``steps``) in order, each with its number of rows."""
+    times = [first + np.cumsum(np.frombuffer(bytes(steps), f"<u{len(steps) // num}").astype(np.int64))
+             for first, num, steps in pieces]
+    at, counts = np.unique(np.concatenate(times), return_counts=True)
+    return list(zip(at.tolist(), counts.tolist()))

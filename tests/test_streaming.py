@@ -12,9 +12,11 @@ from sluice.plans import auctions, pushdown, wordcount
 from sluice.schemas import topic_schema
 from sluice.session import stream_session
 from sluice.sources import sinks, topics
-from sluice.streaming import jobs
+from sluice.streaming import jobs, reports
 from sluice.streaming.early_sessions import EarlySessions, early_sessions_stream, firings
 from sluice.streaming.emit_once import emit_once_stream
+from sluice.streaming.late import LateLedger
+from sluice.streaming.publisher import publish_in_order, publish_slices
 from sluice.streaming.running_count import running_count_stream
 
 START = datetime(2024, 1, 1)
@@ -242,14 +244,138 @@ def test_sessions_of_one_key_take_linear_time():
     from types import SimpleNamespace
 
     processor = EarlySessions("bidder", 5, 2)
-    processor.open = SimpleNamespace(get=list, put=lambda rows: None, clear=lambda: None)
+    processor.open = SimpleNamespace(
+        iterator=lambda: iter(()), updateValue=lambda key, value: None, removeKey=lambda key: None)
     processor.handle = SimpleNamespace(registerTimer=lambda at: None, deleteTimer=lambda at: None)
     start = perf_counter()
-    rows = [{"first": 100 * i, "last": 100 * i, "num": 1} for i in range(8000)]
+    rows = [{"first": 100 * i, "last": 100 * i, "num": 1, "steps": b"\0"} for i in range(8000)]
     assert list(processor.handleInputRows((1,), iter(rows), None)) == []
     assert perf_counter() - start < 0.5
 
 
+def _row_by_row(rows, gap, every, sessions):
+    """Counts reported while instants join sessions one by one; ``sessions`` is changed."""
+    out = []
+    for at_ in sorted(rows):
+        held = [s for s in sessions if s[0] - gap <= at_ <= s[1] + gap]
+        counts, since = firings(sum(s[2] for s in held), sum(s[3] for s in held), 1, every)
+        out += counts
+        first, last = min([at_, *(s[0] for s in held)]), max([at_, *(s[1] for s in held)])
+        sessions[:] = [s for s in sessions if s not in held] + [(first, last, sum(s[2] for s in held) + 1, since)]
+    return out
+
+
+def test_pieces_report_what_single_rows_report():
+    """Several micro-batches whose rows fall before, between and after open sessions."""
+    from types import SimpleNamespace
+
+    from sluice.streaming.precombine import _packed
+
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        gap, every, state = 10, int(rng.integers(1, 5)), {}
+        processor = EarlySessions("bidder", gap, every)
+        processor.open = SimpleNamespace(
+            iterator=lambda: iter([((k,), v) for k, v in state.items()]),
+            updateValue=lambda key, value: state.__setitem__(key[0], value), removeKey=lambda key: state.pop(key[0]))
+        processor.handle = SimpleNamespace(registerTimer=lambda at: None, deleteTimer=lambda at: None)
+        sessions = []
+        for _ in range(4):
+            rows = rng.integers(0, 150, int(rng.integers(0, 25))).tolist()
+            task = rng.integers(0, 2, len(rows))
+            pieces = {}
+            for t, k in zip(rows, task):
+                pieces.setdefault((int(k), t // gap), []).append(t)
+            combined = [{"first": min(p), "last": max(p), "num": len(p), "steps": _packed(np.sort(np.array(p, np.int64)))}
+                        for p in pieces.values()]
+            got = [c for r in processor.handleInputRows((1,), iter(combined), None)
+                   for c in range(r["low"], r["high"] + 1, r["step"])]
+            assert got == _row_by_row(rows, gap, every, sessions), (seed, rows)
+            assert sorted((k, *v) for k, v in state.items()) == sorted(sessions)
+
+
+def test_pieces_of_a_hot_key_are_few_and_unpack(spark):
+    from sluice.streaming.precombine import combine_pieces, instants
+
+    micros = [0, 0, 7, 300, 299_999, 300_000, 10_000_000, -5, -1]
+    rows = [(None if i % 2 else 7, START + timedelta(microseconds=m)) for i in range(40) for m in micros]
+    df = spark.createDataFrame(rows, "k int, at timestamp_ntz").withColumn("at", F.col("at").cast("timestamp")).coalesce(1)
+    made = combine_pieces(df, "k", "at", 300_000).collect()
+    assert len(made) == 2 * 4
+    base = spark.sql("SELECT unix_micros(TIMESTAMP '2024-01-01 00:00:00')").first()[0]
+    for key in (None, 7):
+        back = instants([(r["first"], r["num"], r["steps"]) for r in made if r["k"] == key])
+        assert back == [(base + m, 20 * micros.count(m)) for m in sorted(set(micros))]
+
+
+def test_topics_in_order_take_several_batches_and_lose_nothing(spark, folder, collected):
+    """Two topics cut at the same instants; one lacks rows in most slices, instants repeat, rows have no time."""
+    session = stream_session(spark)
+    rng = np.random.default_rng(8)
+    bids = [bid(int(rng.integers(1, 5)), int(rng.integers(1, 4)), float(s)) for s in rng.integers(0, 400, 900)]
+    shuffled = session.createDataFrame([bids[i] for i in rng.permutation(len(bids))], topic_schema("bid", "ntz")).repartition(5)
+    few = session.createDataFrame([person(i, 390 + i) for i in range(3)] + [(9, "n", "m", "cc", "c", "OR", None, "e")],
+                                  topic_schema("person", "ntz"))
+    made = publish_in_order({"bid": shuffled, "person": few}, folder, slices=5, files=3)
+    assert made["bid"].slices >= 4 and made["bid"].files == 3
+    stream = topics.with_watermark(jobs.zoned(made["bid"].stream(session)))
+    counts = auctions.q5_counts(stream, size="10 seconds", slide="10 seconds")
+    out = f"{folder}/out"
+    updates = reports.run_reported(session, counts.writeStream.format("parquet").option("path", f"{out}/rows").option(
+        "checkpointLocation", f"{out}/checkpoint"))
+    seen = reports.batch_reports(spark, updates).collect()
+    assert sum(r.input_rows > 0 for r in seen) == made["bid"].slices + 1 and not any(r.dropped_rows for r in seen)
+    want = collected(auctions.q5_counts(shuffled, size="10 seconds", slide="10 seconds"))
+    assert collected(jobs.written(spark, out, counts.schema)) == want
+    people = run(made["person"].stream(session).where("id >= 0"), folder, "people")
+    assert collected(people.select("id")) == [(0,), (1,), (2,), (9,)]
+    # A rate: no trigger takes many more rows than asked for.
+    paced = publish_in_order({"bid": shuffled}, f"{folder}/paced", rows_per_slice=200, files=1, closing=False)["bid"]
+    query = sinks.discard_writer(paced.stream(session), f"{folder}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    sizes = [p.numInputRows for p in query.recentProgress if p.numInputRows]
+    assert len(sizes) == 5 and max(sizes) <= 220 and sum(sizes) == 900 + 5
+
+
+def test_ledger_keeps_what_spark_drops(spark, folder, collected):
+    session = stream_session(spark)
+    slices = [[bid(1, 1, 0), bid(1, 1, 100)], [bid(2, 1, 101)], [bid(1, 1, 3), bid(3, 1, 5), bid(2, 1, 102)], [bid(4, 1, 99)]]
+    rows = session.createDataFrame([(*r, i) for i, part in enumerate(slices) for r in part],
+                                   f"{topic_schema('bid', 'ntz').simpleString()[7:-1].replace(':', ' ')}, part int")
+    topic = publish_slices(rows, f"{folder}/bid", F.col("part"), len(slices), files=2)
+    ledger = LateLedger(f"{folder}/ledger", topic.schema, size="10 seconds")
+    ledger.run(topic.stream(session))
+    ledger.run(topic.stream(session))  # nothing new
+    assert collected(ledger.late(spark).select("auction", "batch")) == [(1, 2), (3, 2)]
+    both = ledger.in_time(spark).count() + ledger.late(spark).count()
+    assert both == 7 + 1  # the closing row
+    counts = auctions.q5_counts(topics.with_watermark(jobs.zoned(topic.stream(session))), size="10 seconds", slide="10 seconds")
+    updates = reports.run_reported(session, counts.writeStream.format("parquet").option("path", f"{folder}/out/rows").option(
+        "checkpointLocation", f"{folder}/out/checkpoint"))
+    dropped = reports.batch_reports(spark, updates).agg(F.sum("dropped_rows")).first()[0]
+    assert dropped == ledger.late(spark).count() == 2
+    want = collected(auctions.q5_counts(ledger.in_time(spark).where("auction > 0"), size="10 seconds", slide="10 seconds"))
+    assert collected(jobs.written(spark, f"{folder}/out", counts.schema)) == want
+
+
+def test_emit_once_over_slices_keeps_ids_a_set(spark, folder, collected):
+    """In the order of time over several micro-batches: as in batch, though ids wait and repeat over all of them."""
+    session = stream_session(spark)
+    rng = np.random.default_rng(11)
+    items_ = session.createDataFrame(
+        [item(int(i), int(k), float(s)) for i, k, s in zip(rng.integers(0, 60, 400), rng.integers(0, 6, 400), rng.integers(0, 300, 400))],
+        topic_schema("auction", "ntz"))
+    people_ = session.createDataFrame([person(k, 50 * k + v, city=f"c{v}") for k in range(5) for v in (9, 140)], topic_schema("person", "ntz"))
+    made = publish_in_order({"auction": items_, "person": people_}, folder, slices=6, files=2, closing=False)
+    auction, people = (topics.with_watermark(jobs.zoned(t.stream(session))) for t in made.values())
+    df = emit_once_stream(auction, people, salts=3)
+    out = f"{folder}/out"
+    updates = jobs.run_available(df, out)
+    assert sum(u.numInputRows > 0 for u in updates) >= 5
+    want = collected(auctions.q3_incremental(items_, people_, states=("OR",)))
+    assert want and collected(jobs.written(spark, out, df.schema)) == want
+
+
 def test_late_rows_are_dropped_and_counted(spark, folder, collected):
     """A watermark takes effect on late rows one micro-batch after it was computed."""
     topic = Topic(spark, folder, "bid").add([bid(1, 1, 0), bid(1, 1, 100)]).add([bid(2, 1, 101)])
