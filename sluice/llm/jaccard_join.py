@@ -14,8 +14,9 @@ longest lists aside (``DivideSkip``: as many as its ``T`` and the longest list s
 lists; these are then probed by binary search, and the exact overlap decides.
 
 First every list is a shard with one query, its least node, so that a large group of near copies is joined by as many
-comparisons as it has nodes. Only lists that then still hold several groups are searched whole, all nodes but those of
-their largest group being queries; crowded lists are cut into parts by weight, and pairs of parts of one group are left out.
+comparisons as it has nodes. Only lists that then still hold several groups are searched whole, those with the same
+largest group as one, and all nodes but those of that group are queries; crowded lists are cut into parts by weight, and
+pairs of parts of one group are left out.
 
 Defined results: texts without words (null too) have an empty set and are linked with nothing; of fewer words than a
 shingle all are one shingle; ids may repeat or be null (a group whose ids are all null has a null component; a text
@@ -222,16 +223,20 @@ def _stars(members: DataFrame, sets: DataFrame, similar: tuple[int, int], tile:
 def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, similar: tuple[int, int], tile: int) -> DataFrame:
     """Edges inside lists that hold several groups, enough to join whatever is similar there."""
     rooted = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    groups = rooted.groupBy("key", "root").agg(F.sum("n").alias("weight"), F.count("*").alias("nodes"))
+    groups = rooted.groupBy("key", "root").agg(F.count("*").alias("nodes"))
     crowded = groups.groupBy("key").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.sum("nodes").alias("nodes"),
-        F.sum(F.when(F.col("weight") <= tile, F.col("weight")).otherwise(0)).alias("light")
-    ).where("low <> high AND nodes > 2").select("key", "light")  # of two nodes one was the query
+        F.max(F.struct("nodes", "root"))["root"].alias("hub"),
+    ).where("low <> high AND nodes > 2").select("key", "hub")  # of two nodes one was the query
+    # Copies share many lists: those of one largest group are one list, in which a node stands once.
+    joined = written(rooted.join(crowded, "key").select(F.col("hub").alias("key"), "node", "n", "root").distinct(), "join-hubs")
+    weights = joined.groupBy("key", "root").agg(F.sum("n").alias("weight"))
+    light = weights.groupBy("key").agg(F.sum(F.when(F.col("weight") <= tile, F.col("weight")).otherwise(0)).alias("light"))
     large = F.col("weight") > tile
     part = F.when(large, F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("weight") / tile)))).otherwise(
         F.xxhash64(F.pmod(F.xxhash64("root"), F.greatest(F.lit(1), F.ceil(F.col("light") / tile)))))
     dealt = written(
-        rooted.join(groups.drop("nodes").join(crowded, "key"), ["key", "root"]).select(
+        joined.join(weights.join(light, "key"), ["key", "root"]).select(
             "key", "node", "root", part.alias("part"), F.when(large, F.col("root")).alias("own")), "join-crowded")
     parts = dealt.select("key", "part", "own").distinct()
     others = parts.select("key", F.col("part").alias("other"), F.col("own").alias("others_own"))
