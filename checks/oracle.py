@@ -475,6 +475,13 @@ ORACLE["q3_strkey"] = ORACLE["q3"]
 ORACLE["q3_incremental_strkey"] = ORACLE["q3_incremental"]
 
 ORACLE |= {
+    "slot_layout": ORACLE["slot_filter"],
+    "results_csv": ORACLE["q2"],
+    "cluster_use": f"""
+SELECT cluster, CAST(count(r.event_id) AS BIGINT) AS records
+FROM (SELECT unnest(['core', 'edge-local', 'spare', 'edge-one', 'edge-two', 'edge-three']) AS cluster) LEFT JOIN ({ORACLE["route_rules"]}) r
+USING (cluster) GROUP BY cluster""",
+    "stream_q5_counts_monotonic": ORACLE["q5_counts"],
     "stream_pushed_q1": ORACLE["q1"],
     "stream_scan_savings": f"""
 SELECT * EXCLUDE (topic), TRUE AS several_batches FROM ({ORACLE["scan_savings"]})""",

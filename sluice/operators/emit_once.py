@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timing import time_slice
 from ..schemas import TIME
-from .timeline import version_as_of
+from .timeline import even_slices, version_as_of
 from .windows import count_up
 
 PERSON_FIELDS = ("name", "city", "state")
@@ -21,12 +21,13 @@ def seller_salts(spark: SparkSession) -> int:
     return min(MOST_SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def emit_once(auction: DataFrame, person: DataFrame, *, key_type: str = "bigint", time_slices: str = "1 hour") -> DataFrame:
+def emit_once(auction: DataFrame, person: DataFrame, *, key_type: str = "bigint", time_slices: str | None = None) -> DataFrame:
     """``name, city, state, id`` in the order of event time.
 
     An auction whose seller is known is emitted with the seller's details as of its time. Otherwise it waits, in a set
     of ids per seller, for the seller's first appearance. A person comes before the auctions of the same instant; of
     several versions of a person at one instant the greatest counts. Sellers that never appear emit nothing.
+    ``time_slices`` is the width of the slices of time that are worked off apart; without it they hold even parts of the rows.
     """
     versions = person.groupBy(F.col("id").cast(key_type).alias("seller"), TIME).agg(
         F.max(F.struct(*PERSON_FIELDS)).alias("version")
@@ -35,9 +36,8 @@ def emit_once(auction: DataFrame, person: DataFrame, *, key_type: str = "bigint"
     rows = auction.groupBy(F.col("seller").cast(key_type).alias("seller"), "id", TIME).agg(
         F.count(F.lit(1)).alias("copies")
     )
-    matched = version_as_of(
-        rows, versions, ["seller"], TIME, lambda time: time_slice(time, time_slices), "known", "first"
-    ).where(F.col("first").isNotNull())
+    slice_of = (lambda time: time_slice(time, time_slices)) if time_slices else even_slices([auction, person], TIME)
+    matched = version_as_of(rows, versions, ["seller"], TIME, slice_of, "known", "first").where(F.col("first").isNotNull())
     waited = F.col("known").isNull()
     emitted = (
         matched.select("seller", "id", "copies", waited.alias("waited"), F.coalesce("known", "first").alias("person"))

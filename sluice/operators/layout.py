@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import keygroups as kg
 from .scan import TopicCriteria, key_fields, with_key_row
@@ -30,6 +31,28 @@ def of_slot(df: DataFrame, fields, wanted: int, parallelism: int,
     return df.where(kg.key_slot(fields, parallelism, max_parallelism) == wanted)
 
 
+SLOT = "slot"
+
+
+def write_by_slot(df: DataFrame, fields, path: str, parallelism: int, *, files_per_slot: int = 1,
+                  max_parallelism: int = kg.DEFAULT_MAX_PARALLELISM) -> None:
+    """Lays rows out in one folder per slot, so that the rows of a slot are read without looking at any others.
+
+    The rows of a slot are dealt evenly over ``files_per_slot`` tasks, also when one key holds most of them.
+    """
+    dealt = df.withColumns({
+        SLOT: kg.key_slot(fields, parallelism, max_parallelism),
+        "_file": F.pmod(F.monotonically_increasing_id(), F.lit(files_per_slot)),
+    })
+    dealt.repartition(parallelism * files_per_slot, SLOT, "_file").drop("_file").write.partitionBy(SLOT).parquet(path)
+
+
+def read_slots(spark: SparkSession, path: str, schema: T.StructType, *slots: int) -> DataFrame:
+    """The rows of some slots of a laid-out table; files of other slots are not listed for reading."""
+    laid_out = T.StructType([*schema.fields, T.StructField(SLOT, T.IntegerType())])
+    return spark.read.schema(laid_out).parquet(path).where(F.col(SLOT).isin(*slots)).select(*schema.names)
+
+
 # The mapping has num_sources x num_partitions rows, a cluster setting that does not grow with the records.
 BROADCAST_MAPPING_ROWS = 100_000
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.patterns import required_literals
 from ..functions.records import JSON_WRITE, attribute_text, quoted, record_bytes
 from ..schemas import TIME
 from ..sources.topics import WATERMARK_DELAY, expand, with_watermark
@@ -78,6 +79,23 @@ def _occurs(selection: Selection, kind: T.DataType) -> Column | None:
     return None
 
 
+_NUMERIC = set("0123456789+-.eE")
+
+
+def _may_occur(selection: Selection, kind: T.DataType) -> Column | None:
+    """The same for a pattern: a record that has the attribute has one of the pattern's required texts.
+
+    Numbers may be written otherwise than they read, so runs of their characters are only looked for in integers.
+    """
+    value, literals = F.col("value"), required_literals(selection.pattern)
+    if literals is None or not isinstance(kind, (T.IntegralType, T.StringType)):
+        return None
+    if isinstance(kind, T.StringType) and any(_NUMERIC.issuperset(text) for text in literals):
+        return None
+    absent = ~value.contains(f'"{selection.attribute}"')
+    return reduce(lambda a, b: a | b, [value.contains(text) for text in literals], absent | value.contains("\\"))
+
+
 def scan_topic(
     records: DataFrame,
     schema: T.StructType,
@@ -102,8 +120,9 @@ def scan_topic(
     patterns = [s for s in criteria.selections if s.pattern is not None]
     exact = [s for s in criteria.selections if s.pattern is None]
     if on_malformed != "fail":
-        for selection in exact:
-            test = _occurs(selection, known[selection.attribute].dataType)
+        for selection in criteria.selections:
+            occurs = _occurs if selection.pattern is None else _may_occur
+            test = occurs(selection, known[selection.attribute].dataType)
             rows = rows if test is None else rows.where(test)
     if patterns:
         rows = _matching(rows, patterns, on_malformed)

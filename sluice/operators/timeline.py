@@ -2,14 +2,18 @@
 
 A key may hold a third of all rows, so its rows are never brought together. The line of a key is cut into slices; what
 a slice needs from before its start is summed up per slice first, carried forward over the (few) slices of the key,
-and added to the slice as one extra row. After that every (key, slice) is a group of its own. Where the number of slices
+and added to the slice as one extra row. After that every (key, slice) is a group of its own. ``even_slices`` cuts the
+time line where the rows are, so that neither a burst nor a long span makes a large group. Where the number of slices
 grows with the rows, as in running sums by position, the slices are carried forward over spans of slices in the same way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _CARRIED = "_carried"  # 0: the row carried into a slice, 1: a row of the slice
 
@@ -17,6 +21,51 @@ _CARRIED = "_carried"  # 0: the row carried into a slice, 1: a row of the slice
 SPAN_SLICES = 1_000
 
 
+# Slices of time per partition of the shuffle, and how exact their borders are.
+SLICES_PER_PARTITION, ACCURACY = 4, 10_000
+
+
+def even_slices(frames: Sequence[DataFrame], time: str, slices: int | None = None) -> Callable[[str], Column]:
+    """Slices of time that hold about equally many rows of all frames together, whatever the bursts and gaps.
+
+    Their borders are approximate percentiles of the times, so a key with a third of the rows has a third of a slice's
+    rows in each, and no more slices than there are in all. Only rows of one instant are never parted.
+    """
+    spark = frames[0].sparkSession
+    slices = slices or SLICES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = lambda column: F.unix_micros(F.col(column).cast("timestamp"))
+    times = frames[0].select(at(time).alias("at"))
+    for frame in frames[1:]:
+        times = times.unionByName(frame.select(at(time).alias("at")))
+    shares = [i / slices for i in range(1, slices)]
+    found = times.agg(F.percentile_approx("at", shares, max(ACCURACY, 4 * slices))).first()[0] if shares else None
+    cuts = sorted(set(found or ()))
+    if not cuts:
+        return lambda column: F.lit(0)
+    borders, steps = F.lit(cuts), F.lit([1 << k for k in reversed(range(len(cuts).bit_length()))])
+
+    def slice_of(column: str) -> Column:
+        """How many borders lie at or before the time, by binary search."""
+        def closer(place, step):
+            behind = (place + step <= len(cuts)) & (F.get(borders, place + step - 1) <= at(column))
+            return F.when(behind, place + step).otherwise(place)
+
+        return F.aggregate(steps, F.lit(0), closer)
+
+    return slice_of
+
+
+def _place(df: DataFrame, order: list[str]) -> Column | None:
+    """One number in the order of the columns, or None where they cannot be one; aggregates by it are hashed."""
+    kinds = [df.schema[c].dataType for c in order]
+    if len(order) == 1:
+        return F.col(order[0])
+    if len(order) > 2 or not isinstance(kinds[0], (T.TimestampType, T.TimestampNTZType)) or not isinstance(kinds[1], T.IntegralType):
+        return None
+    wide = lambda column: column.cast("decimal(19, 0)").cast("decimal(38, 0)")
+    return wide(F.unix_micros(F.col(order[0]).cast("timestamp"))) * F.lit(str(10 ** 19)).cast("decimal(20, 0)") + wide(F.col(order[1]))
+
+
 def _so_far(keys: list[str], slice_name: str):
     return Window.partitionBy(*keys).orderBy(slice_name).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -65,8 +114,9 @@ def previous_row(
     """
     columns = list(dict.fromkeys([*order, *wanted.values()]))
     rows = df.withColumn("_slice", slice_by)
-    if len(order) == 1:  # plain columns keep this a hash aggregation
-        last = F.struct(*[F.max_by(c, order[0]).alias(c) for c in columns])
+    place = _place(df, order)
+    if place is not None:  # plain columns keep this a hash aggregation
+        last = F.struct(*[F.max_by(c, place).alias(c) for c in columns])
     else:
         last = F.max_by(F.struct(*columns), F.struct(*order))
     ends = rows.groupBy(*keys, "_slice").agg(last.alias("_end"))

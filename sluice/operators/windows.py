@@ -6,6 +6,8 @@ alone, so a key that holds a third of all rows reaches a task only as one row pe
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,16 +21,20 @@ def tumbling(df: DataFrame, time: str, size: str, name: str = "w") -> DataFrame:
 def hop_counts(df: DataFrame, keys: list[str], time: str, size: str, slide: str) -> DataFrame:
     """Rows per key and hopping window ``w``; works on batch and stream.
 
-    When the slide divides the size, rows are counted once per slide-wide pane and only the pane counts are spread
+    Rows are counted once per pane, the widest that both size and slide are made of, and only the pane counts are spread
     over the windows that hold them, instead of every row size/slide times.
     """
-    steps, rest = divmod(duration(size), duration(slide))
-    if rest or steps < 2:
+    if duration(size) <= duration(slide):
         return df.groupBy(F.window(time, size, slide).alias("w"), *keys).agg(F.count(F.lit(1)).alias("num"))
-    panes = df.groupBy(F.window(time, slide).alias("pane"), *keys).agg(F.count(F.lit(1)).alias("num"))
+    whole = [int(duration(x).total_seconds() * 1_000_000) for x in (size, slide)]
+    pane = gcd(*whole)
+    panes = df.groupBy(F.window(time, f"{pane} microseconds").alias("pane"), *keys).agg(F.count(F.lit(1)).alias("num"))
     if df.isStreaming:  # only Spark's own window carries the watermark on
         hops = panes.select(F.window("pane", size, slide).alias("w"), *keys, "num")
+    elif whole[0] % whole[1]:  # which windows hold a pane depends on where it lies
+        hops = panes.select(F.window("pane.start", size, slide).alias("w"), *keys, "num")
     else:
+        steps = whole[0] // whole[1]
         starts = [F.col("pane.start") - F.lit(k * duration(slide)) for k in range(steps)]
         held_by = [F.struct(s.alias("start"), (s + interval(size)).alias("end")) for s in starts]
         hops = panes.select(F.explode(F.array(*held_by)).alias("w"), *keys, "num")
@@ -39,24 +45,38 @@ def session_counts(df: DataFrame, keys: list[str], time: str, gap: str) -> DataF
     """Rows per key and session as ``starttime``, ``endtime`` (last row plus gap) and ``num``.
 
     A row exactly one gap after the last one still belongs to the session. Rows without a time belong to none.
+    In batch, sessions are joined per slice of time first; only the first and last one of every slice, which may go on
+    in another slice, are then put in order per key. No task meets more than a slice of a key, or two spans per slice.
     """
     if df.isStreaming:
         counted = df.groupBy(*keys, F.session_window(time, gap).alias("s")).agg(F.count(F.lit(1)).alias("num"))
         return counted.select(*keys, F.col("s.start").alias("starttime"), F.col("s.end").alias("endtime"), "num")
     # Rows of one gap-wide grain are always in one session.
     grains = df.groupBy(*keys, F.window(time, gap).alias("grain")).agg(
-        F.min(time).alias("first"), F.max(time).alias("last"), F.count(F.lit(1)).alias("num")
-    )
-    in_order = Window.partitionBy(*keys).orderBy("first")
+        F.min(time).alias("first"), F.max(time).alias("last"), F.count(F.lit(1)).alias("num"))
+    width = duration(gap) * SLICE_GRAINS
+    sliced = grains.withColumn("slice", F.window("first", f"{int(width.total_seconds() * 1_000_000)} microseconds")["start"])
+    local = _joined(sliced, [*keys, "slice"], gap)
+    # The first and the last session of a slice may go on in another one; all others are whole and stay by themselves.
+    border = (F.col("session") == 1) | (F.col("session") == F.max("session").over(Window.partitionBy(*keys, "slice")))
+    parts = local.select(*keys, F.when(~border, F.col("slice")).alias("slice"), "first", "last", "num")
+    return _joined(parts, [*keys, "slice"], gap).select(
+        *keys, F.col("first").alias("starttime"), (F.col("last") + interval(gap)).alias("endtime"), "num")
+
+
+# Gap-wide grains of a slice of time, whose sessions are joined in one task.
+SLICE_GRAINS = 1_000
+
+
+def _joined(spans: DataFrame, group: list[str], gap: str) -> DataFrame:
+    """Spans ``first, last, num`` joined where no more than a gap lies between them, numbered from 1 in every group."""
+    in_order = Window.partitionBy(*group).orderBy("first")
     previous = F.lag("last").over(in_order)
     opens = F.when(previous.isNull() | (F.col("first") > previous + interval(gap)), 1).otherwise(0)
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = grains.withColumn("opens", opens).withColumn("session", F.sum("opens").over(so_far))
-    return numbered.groupBy(*keys, "session").agg(
-        F.min("first").alias("starttime"),
-        (F.max("last") + interval(gap)).alias("endtime"),
-        F.sum("num").alias("num"),
-    ).drop("session")
+    numbered = spans.withColumn("opens", opens).withColumn("session", F.sum("opens").over(so_far))
+    return numbered.groupBy(*group, "session").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("num").alias("num"))
 
 
 def early_firings(sessions: DataFrame, every: int, count: str = "num") -> DataFrame:

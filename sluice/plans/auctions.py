@@ -84,7 +84,7 @@ def _of_seller(items: DataFrame, persons: DataFrame, same, deal_by: str) -> Data
 
 
 def q3_incremental(auction: DataFrame, person: DataFrame, *, states: Sequence[str] = LOCAL_STATES,
-                   key_type: str = "bigint", time_slices: str = "1 hour") -> DataFrame:
+                   key_type: str = "bigint", time_slices: str | None = None) -> DataFrame:
     """Local sellers, each auction emitted once; all categories. Batch; ``streaming.emit_once`` is its stream twin."""
     local = person.where(F.col("state").isin(*states))
     return emit_once(auction, local, key_type=key_type, time_slices=time_slices)

@@ -9,10 +9,13 @@ from ..functions import keygroups as kg
 from ..functions.records import words
 from ..operators import layout, routing
 from ..operators.scan import Selection, TopicCriteria, scan_records, scan_stats, scan_topic
+from ..operators.timeline import even_slices
 from ..operators.windows import hop_counts
 from ..schemas import TIME, topic_schema
+from ..session import shared_folder
 from ..sources import mapped, replay, sinks, topics
 from ..sources.mapped import HOT_AUCTIONS, table
+from ..sources.results import read_results, write_results
 from . import auctions, metrics, pushdown, wordcount
 
 # The stored events are minutes apart, so windows are longer than the queries' own seconds.
@@ -21,7 +24,6 @@ COUNT_HOP = {"size": "60 minutes", "slide": "5 minutes"}
 TUMBLE = "30 days"
 GAP = "6 hours"
 FIRE_EVERY = 2
-SLICES = "30 days"
 
 CATALOG = {}
 
@@ -63,7 +65,7 @@ def q2_typed(spark, folder):
 @query
 def q2_pattern(spark, folder):
     criteria = TopicCriteria(selections=(Selection("auction", pattern="1007|1020"),), projections=("auction", "price"))
-    return scan_topic(mapped.bid_records(spark, folder), topic_schema("bid"), criteria)
+    return scan_topic(mapped.bid_records(spark, folder), topic_schema("bid"), criteria, on_malformed="drop")
 
 
 @query
@@ -83,13 +85,13 @@ def q3_strkey(spark, folder):
 
 @query
 def q3_incremental(spark, folder):
-    return auctions.q3_incremental(mapped.auction(spark, folder), mapped.person(spark, folder), time_slices=SLICES)
+    return auctions.q3_incremental(mapped.auction(spark, folder), mapped.person(spark, folder))
 
 
 @query
 def q3_incremental_strkey(spark, folder):
     return auctions.q3_incremental(
-        mapped.auction(spark, folder), mapped.person(spark, folder), key_type="string", time_slices=SLICES
+        mapped.auction(spark, folder), mapped.person(spark, folder), key_type="string",
     )
 
 
@@ -98,7 +100,6 @@ def q3_versions(spark, folder):
     """The emit-once join where a person changes: every order is also an address change of its customer's."""
     return auctions.q3_incremental(
         mapped.auction(spark, folder), person_versions(spark, folder), states=("OR", "ID", "CA", "WA"),
-        time_slices=SLICES,
     )
 
 
@@ -313,7 +314,7 @@ def prefix_filter(spark, folder):
     """A prefix predicate on a string, as in the filter scenario."""
     records = mapped.person_records(spark, folder)
     criteria = TopicCriteria(selections=(Selection("name", pattern="^Customer#0+1.*"),), projections=("id", "name"))
-    return scan_topic(records, topic_schema("person"), criteria)
+    return scan_topic(records, topic_schema("person"), criteria, on_malformed="drop")
 
 
 # ---- key groups --------------------------------------------------------------------------------------------------
@@ -345,6 +346,14 @@ def slot_filter(spark, folder):
     return layout.of_slot(mapped.bid(spark, folder), [("bidder", "long")], 1, 4).select("bidder", "price")
 
 
+@query
+def slot_layout(spark, folder):
+    """The same rows out of a table that is laid out by slot, of which only this slot's files are read."""
+    rows, path = mapped.bid(spark, folder).select("bidder", "price"), shared_folder(spark, "slot-layout")
+    layout.write_by_slot(rows, [("bidder", "long")], path, 4, files_per_slot=2)
+    return layout.read_slots(spark, path, rows.schema, 1)
+
+
 @query
 def split_owners(spark, folder):
     """Owner of every partition number in use, with the event type as topic."""
@@ -404,6 +413,22 @@ def route_rules(spark, folder):
     return table(spark, folder, "events").select("event_id", cluster.alias("cluster"))
 
 
+@query
+def cluster_use(spark, folder):
+    """Records of every cluster that the rules can name, also of those that get none."""
+    known = routing.clusters(spark, (*RULES, routing.Rule("spare", key="no such key")), "core", "edge-local")
+    used = route_rules(spark, folder).groupBy("cluster").agg(F.count("*").alias("records"))
+    return known.join(used, "cluster", "left").select("cluster", F.coalesce("records", F.lit(0)).alias("records"))
+
+
+@query
+def results_csv(spark, folder):
+    """Results written as files with a header and read again under their schema."""
+    rows, path = auctions.q2(mapped.bid(spark, folder)), shared_folder(spark, "results")
+    write_results(rows, path)
+    return read_results(spark, path, rows.schema)
+
+
 @query
 def route_key_text(spark, folder):
     rules = (routing.Rule("edge-one", key="chase"), routing.Rule("edge-two", key="e"))
@@ -451,11 +476,11 @@ def words_per_line(spark, folder):
 
 # ---- run metrics -------------------------------------------------------------------------------------------------
 
-def _counter(spark, folder):
+def _counter(spark, folder, time_slices=None):
     cents = F.round(F.col("value") * 100).cast("bigint")
     readings = table(spark, folder, "events").select("event_id", "ts", "event_type", cents.alias("step"))
     return metrics.counter(
-        readings, ["event_type"], F.col("step"), tie=["event_id"], time_slices="1 day", name="total"
+        readings, ["event_type"], F.col("step"), tie=["event_id"], time_slices=time_slices, name="total"
     )
 
 
@@ -466,9 +491,10 @@ def metric_counter(spark, folder):
 
 @query
 def irate(spark, folder):
+    slices = even_slices([table(spark, folder, "events")], "ts")
     rates = metrics.instant_rate(
-        _counter(spark, folder), ["event_type"], value="total", tie=["event_id"], window="10 minutes",
-        time_slices="1 day",
+        _counter(spark, folder, slices), ["event_type"], value="total", tie=["event_id"], window="10 minutes",
+        time_slices=slices,
     )
     return rates.select("event_type", "event_id", F.round("rate", 6).alias("rate"))
 
@@ -479,7 +505,7 @@ def irate_resets(spark, folder):
     cents = F.round(F.col("value") * 100).cast("bigint")
     readings = table(spark, folder, "events").select("event_id", "ts", "user_id", cents.alias("value"))
     rates = metrics.instant_rate(
-        readings, ["user_id"], tie=["event_id"], window="12 hours", time_slices="1 day"
+        readings, ["user_id"], tie=["event_id"], window="12 hours"
     )
     return rates.select("user_id", "event_id", F.round("rate", 6).alias("rate"))
 

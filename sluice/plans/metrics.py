@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.records import service_name
 from ..functions.timing import duration, interval, seconds_between, time_slice
-from ..operators.timeline import previous_row, running_sum
+from ..operators.timeline import even_slices, previous_row, running_sum
 
 # The share of every topic in the event mix and the topics that a query reads.
 TOPIC_SHARES = {"bid": 0.92, "auction": 0.06, "person": 0.02}
@@ -30,16 +30,22 @@ ROLE_SERVICES = {"processing": "^taskmanager$", "storage": "^storage$", "proxy":
 RECEIVER = "processing"
 
 
+def _slice(samples: DataFrame, time: str, time_slices) -> Column:
+    """The slice of a time by a width or a function; without one, slices hold even parts of the samples."""
+    if time_slices is None:
+        time_slices = even_slices([samples], time)
+    return time_slices(time) if callable(time_slices) else time_slice(time, time_slices)
+
+
 def instant_rate(samples: DataFrame, series: Sequence[str], *, time: str = "ts", value: str = "value",
-                 tie: Sequence[str] = (), window: str = RATE_WINDOW, time_slices: str = "1 hour") -> DataFrame:
+                 tie: Sequence[str] = (), window: str = RATE_WINDOW, time_slices=None) -> DataFrame:
     """Adds the per-second ``rate`` of a counter from each sample and the one before it.
 
     Null for the first sample and where the two are further apart than the window. After a reset the new reading is
     the increase. ``tie`` orders samples of one instant; two samples at the same instant have no rate.
     """
     looked = previous_row(
-        samples, list(series), [time, *tie], time_slice(time, time_slices), {"_time": time, "_value": value}
-    )
+        samples, list(series), [time, *tie], _slice(samples, time, time_slices), {"_time": time, "_value": value})
     elapsed = seconds_between(F.col(time), F.col("_time"))
     increase = F.when(F.col(value) < F.col("_value"), F.col(value)).otherwise(F.col(value) - F.col("_value"))
     usable = (elapsed > 0) & (elapsed <= duration(window).total_seconds())
@@ -47,9 +53,9 @@ def instant_rate(samples: DataFrame, series: Sequence[str], *, time: str = "ts",
 
 
 def counter(readings: DataFrame, series: Sequence[str], amount: Column, *, time: str = "ts", tie: Sequence[str] = (),
-            time_slices: str = "1 hour", name: str = "value") -> DataFrame:
+            time_slices=None, name: str = "value") -> DataFrame:
     """Turns increments into an ever-growing counter per series."""
-    return running_sum(readings, list(series), [time, *tie], time_slice(time, time_slices), amount, name)
+    return running_sum(readings, list(series), [time, *tie], _slice(readings, time, time_slices), amount, name)
 
 
 def rename_series(samples: DataFrame, metric: str, label: str = "label", name: str = "series") -> DataFrame:

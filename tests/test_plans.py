@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.plans import auctions
 from sluice.plans.catalog import CATALOG
@@ -86,3 +87,23 @@ def test_dealing_out_broadcasts_the_mapping(spark, small):
 def test_warm_up_ranking_is_limited_on_the_map_side(spark, small):
     plan = plan_of(CATALOG["warm_up_cut"](spark, small))
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_a_slot_is_read_from_its_own_files(spark, folder):
+    from sluice.operators import layout
+
+    rows = spark.range(2000).select((F.col("id") % 50).alias("k"), "id")
+    layout.write_by_slot(rows, [("k", "long")], f"{folder}/t", 4, files_per_slot=3)
+    read = layout.read_slots(spark, f"{folder}/t", rows.schema, 1)
+    want = layout.of_slot(rows, [("k", "long")], 1, 4)
+    assert read.count() == want.count() > 0
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(slot" in plan and "(slot" in plan
+    files = spark.read.parquet(f"{folder}/t").where("slot = 1").select(F.input_file_name()).distinct().collect()
+    assert files and all("slot=1" in f[0] for f in files)
+
+
+def test_pattern_scans_look_for_plain_text_before_they_parse(spark, small):
+    for name, text in (("q2_pattern", "Contains("), ("prefix_filter", "Contains(")):
+        plan = CATALOG[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert text in plan, name

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.timing import time_slice
 from sluice.operators.emit_once import emit_once
-from sluice.operators.timeline import previous_row, running_sum, version_as_of
+from sluice.operators.timeline import even_slices, previous_row, running_sum, version_as_of
 
 START = datetime(2024, 1, 1)
 
@@ -98,3 +98,36 @@ def test_emit_once_does_not_depend_on_slices_or_key_type(spark, collected):
                for s, k in (("7 seconds", "bigint"), ("1 day", "bigint"), ("100 seconds", "string"))]
     assert results[0] == results[1] == results[2]
     assert len(results[0]) > 200
+
+
+def test_slices_are_even_in_bursts_and_rise_with_time(spark):
+    """Half of all rows lie in one hour of ten years, on one key; some have no time, some lie outside of the span."""
+    far = [(i, 1, START + timedelta(hours=9 * i), i) for i in range(3000)]
+    burst = [(3000 + i, 0, START + timedelta(days=900, milliseconds=1200 * i), i) for i in range(3000)]
+    df = spark.createDataFrame(far + burst + [(9000, 0, None, 1)], "id bigint, key bigint, at timestamp_ntz, v bigint")
+    slice_of = even_slices([df], "at", slices=60)
+    rows = df.withColumn("s", slice_of("at")).where("at IS NOT NULL").orderBy("at", "id").collect()
+    numbers = [r.s for r in rows]
+    assert numbers == sorted(numbers) and len(set(numbers)) <= 200
+    counts = {}
+    for r in rows:
+        counts[r.key, r.s] = counts.get((r.key, r.s), 0) + 1
+    assert max(counts.values()) <= 2 * 6000 / 60
+    beyond = spark.createDataFrame([(START - timedelta(days=1),), (START + timedelta(days=9000),)], "at timestamp_ntz")
+    assert [r.s for r in beyond.select(slice_of("at").alias("s")).collect()] == [0, numbers[-1]]
+    assert even_slices([df.where("id < 0")], "at")("at") is not None
+
+
+def test_previous_row_by_time_and_number_over_even_slices(spark):
+    """Ties of the time are told apart by a number, with negative ones and times before 1970; no sort aggregate."""
+    rng = np.random.default_rng(9)
+    rows = [(int(i), int(k), datetime(1969, 12, 31, 23, 59) + timedelta(seconds=int(t)), int(v))
+            for i, k, t, v in zip(rng.permutation(500) - 250, rng.integers(0, 3, 500), rng.integers(0, 120, 500), rng.integers(0, 99, 500))]
+    df = spark.createDataFrame(rows, "id bigint, key bigint, at timestamp_ntz, v bigint")
+    looked = previous_row(df, ["key"], ["at", "id"], even_slices([df], "at", slices=9)("at"), {"before": "v"})
+    want, last = {}, {}
+    for i, key, at_, v in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[i] = last.get(key)
+        last[key] = v
+    assert {r.id: r.before for r in looked.collect()} == want
+    assert "SortAggregate" not in looked._jdf.queryExecution().executedPlan().toString()

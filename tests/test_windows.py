@@ -30,12 +30,25 @@ def test_session_equals_builtin_sessions(spark, collected):
     assert collected(session_counts(df, ["key"], "at", "10 seconds")) == want
 
 
+def test_sessions_over_many_slices(spark, collected, monkeypatch):
+    """Slices of two gaps: sessions that end in a slice, span several, or lie at their borders; two keys and a null."""
+    monkeypatch.setattr(windows, "SLICE_GRAINS", 2)
+    stamps = [0, 4, 9, 19, 20, 29.9, 39.9, 49, 58, 68, 79, 100, 111, 120, 121, 131.5, 400, 410, 420, 430, 440, 450, 460]
+    df = frame(spark, stamps).unionByName(frame(spark, stamps[::2], "hot")).unionByName(frame(spark, stamps[1::3], None))
+    builtin = df.groupBy("key", F.session_window("at", "10.000001 seconds").alias("s")).agg(F.count("*").alias("num"))
+    ends = F.col("s.end") - F.expr("INTERVAL '0.000001' SECOND")
+    order = lambda rows: sorted(rows, key=repr)
+    want = order(tuple(r) for r in builtin.select("key", "s.start", ends.alias("e"), "num").collect())
+    assert order(tuple(r) for r in session_counts(df, ["key"], "at", "10 seconds").collect()) == want
+
+
 def test_rows_without_time_belong_to_no_session(spark):
     df = frame(spark, [1]).unionByName(spark.createDataFrame([("k", None)], "key string, at timestamp_ntz"))
     assert session_counts(df, ["key"], "at", "10 seconds").first().num == 1
 
 
-@pytest.mark.parametrize("size, slide", [("10 seconds", "2 seconds"), ("10 seconds", "3 seconds"), ("4 seconds", "4 seconds")])
+@pytest.mark.parametrize("size, slide", [("10 seconds", "2 seconds"), ("10 seconds", "3 seconds"), ("4 seconds", "4 seconds"),
+                                         ("10 seconds", "4 seconds"), ("1500 milliseconds", "600 milliseconds")])
 def test_hops_equal_builtin_windows(spark, collected, size, slide):
     df = frame(spark, [0, 0.5, 1.999999, 2, 9.9, 10, 33])
     builtin = df.groupBy(F.window("at", size, slide).alias("w"), "key").agg(F.count("*").alias("num"))
