@@ -1,8 +1,9 @@
 """Hand-written licence signatures.
 
-A family is a line ``label | keyword | priority | regex of its name | version regex or -``. Texts are matched as lower-case
+A family is a line ``label | keywords | priority | regex of its name | version regex or -``. Texts are matched as lower-case
 words with single spaces, so punctuation has no place in the patterns. From each family three rules are made: its name,
-its name with a version, and its name as the object of a licence statement.
+its name with a version, and its name as the object of a licence statement. Every match of a rule has one of its keywords
+as a word. Identifiers of SPDX tags are patterns of their own.
 """
 
 from __future__ import annotations
@@ -30,22 +31,22 @@ mit-x11 | x11 | 6 | (?:mit )?x11 licen[cs]e | -
 mit-modern | modern | 6 | mit licen[cs]e modern variant | -
 apache | apache | 5 | apache(?: software)? licen[cs]e | [12](?: [01])?
 apache | apache | 4 | apache 2(?: 0)? | -
-gpl | gpl | 4 | (?:gnu )?gpl(?:v?[123])? | [123](?: 0)?
+gpl | gpl,gpl1,gpl2,gpl3,gplv1,gplv2,gplv3 | 4 | (?:gnu )?gpl(?:v?[123])? | [123](?: 0)?
 gpl | gnu | 5 | gnu general public licen[cs]e | [123](?: 0)?
 gpl | gplv2 | 4 | gplv2(?: only| or later)? | -
 gpl | gplv3 | 4 | gplv3(?: only| or later)? | -
-lgpl | lgpl | 6 | (?:gnu )?lgpl(?:v?[23])? | [23](?: [01])?
+lgpl | lgpl,lgpl2,lgpl3,lgplv2,lgplv3 | 6 | (?:gnu )?lgpl(?:v?[23])? | [23](?: [01])?
 lgpl | lesser | 7 | (?:gnu )?lesser general public licen[cs]e | [23](?: [01])?
 lgpl | library | 7 | (?:gnu )?library general public licen[cs]e | 2(?: 0)?
-agpl | agpl | 6 | (?:gnu )?agpl(?:v?3)? | [13](?: 0)?
+agpl | agpl,agpl3,agplv3 | 6 | (?:gnu )?agpl(?:v?3)? | [13](?: 0)?
 agpl | affero | 7 | (?:gnu )?affero general public licen[cs]e | [13](?: 0)?
 gfdl | documentation | 6 | (?:gnu )?free documentation licen[cs]e | 1(?: [123])?
 gfdl | gfdl | 5 | gfdl | 1(?: [123])?
 bsd | bsd | 4 | (?:the )?bsd(?: style| type)? licen[cs]e | -
-bsd-2-clause | bsd | 6 | (?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: licen[cs]e)? | -
+bsd-2-clause | bsd,freebsd | 6 | (?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: licen[cs]e)? | -
 bsd-3-clause | bsd | 6 | (?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)(?: licen[cs]e)? | -
 bsd-4-clause | bsd | 6 | (?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)(?: licen[cs]e)? | -
-bsd-0-clause | bsd | 6 | (?:0bsd|zero clause bsd|bsd 0 clause|bsd zero clause)(?: licen[cs]e)? | -
+bsd-0-clause | bsd,0bsd | 6 | (?:0bsd|zero clause bsd|bsd 0 clause|bsd zero clause)(?: licen[cs]e)? | -
 isc | isc | 5 | isc licen[cs]e | -
 mpl | mozilla | 5 | mozilla public licen[cs]e | [12](?: [01])?
 mpl | mpl | 4 | mpl | [12](?: [01])?
@@ -53,7 +54,8 @@ epl | eclipse | 5 | eclipse public licen[cs]e | [12](?: 0)?
 edl | eclipse | 5 | eclipse distribution licen[cs]e | 1(?: 0)?
 cddl | cddl | 4 | cddl | 1(?: [01])?
 cddl | distribution | 5 | common development and distribution licen[cs]e | 1(?: [01])?
-cpl | cpl | 5 | (?:common public licen[cs]e )?cpl | 1(?: 0)?
+cpl | cpl | 4 | cpl | 1(?: 0)?
+cpl | common | 5 | common public licen[cs]e | 1(?: 0)?
 eupl | eupl | 4 | eupl | 1(?: [012])?
 eupl | european | 5 | european union public licen[cs]e | 1(?: [012])?
 cecill | cecill | 5 | cecill(?: [abc])?(?: licen[cs]e)? | [12](?: [01])?
@@ -93,8 +95,10 @@ spl | sun | 5 | sun public licen[cs]e | 1(?: 0)?
 ibm-pl | ibm | 5 | ibm public licen[cs]e | 1(?: 0)?
 intel | intel | 5 | intel(?: open source| simplified software)? licen[cs]e | -
 nokia | nokia | 5 | nokia open source licen[cs]e | 1(?: 0a)?
-qpl | qpl | 5 | (?:q public licen[cs]e )?qpl | 1(?: 0)?
-rpl | rpl | 5 | (?:reciprocal public licen[cs]e )?rpl | 1(?: [15])?
+qpl | qpl | 4 | qpl | 1(?: 0)?
+qpl | q | 5 | q public licen[cs]e | 1(?: 0)?
+rpl | rpl | 4 | rpl | 1(?: [15])?
+rpl | reciprocal | 5 | reciprocal public licen[cs]e | 1(?: [15])?
 osl | osl | 4 | osl | [123](?: 0)?
 osl | open | 5 | open software licen[cs]e | [123](?: 0)?
 afl | academic | 5 | academic free licen[cs]e | [123](?: 0)?
@@ -103,7 +107,8 @@ nosl | nethack | 5 | nethack general public licen[cs]e | -
 ijg | jpeg | 5 | independent jpeg group licen[cs]e | -
 info-zip | zip | 5 | info zip licen[cs]e | -
 json | json | 5 | json licen[cs]e | -
-upl | upl | 5 | (?:universal permissive licen[cs]e )?upl | 1(?: 0)?
+upl | upl | 4 | upl | 1(?: 0)?
+upl | permissive | 5 | universal permissive licen[cs]e | 1(?: 0)?
 mulan | mulan | 5 | mulan(?: psl| permissive software licen[cs]e| public licen[cs]e) | [12](?: 0)?
 odbl | odbl | 4 | odbl | 1(?: 0)?
 odbl | database | 5 | open database licen[cs]e | 1(?: 0)?
@@ -145,10 +150,10 @@ copyright | copyright | 3 | copyright (?:c )?(?:19|20)[0-9]{2} | -
 
 # Clauses of licence texts: label | keyword | regex. Hand-written.
 CLAUSES = """
-mit | merchantability | permission is hereby granted free of charge to any person obtaining a copy
-bsd-3-clause | endorse | neither the name of .{1,80}? may be used to endorse or promote products
+mit | permission | permission is hereby granted free of charge to any person obtaining a copy
+bsd-3-clause | endorse | neither the name of (?:[^ ]+ ){1,60}?may be used to endorse or promote products
 bsd-2-clause | redistribution | redistribution and use in source and binary forms with or without modification are permitted
-apache | apache | you may not use this file except in compliance with the license
+apache | compliance | you may not use this file except in compliance with the license
 gpl | redistribute | you can redistribute it and or modify it under the terms of the gnu general public license
 lgpl | lesser | it under the terms of the gnu lesser general public license
 agpl | affero | it under the terms of the gnu affero general public license
@@ -158,11 +163,92 @@ boost | boost | distributed under the boost software license
 mpl | mozilla | this source code form is subject to the terms of the mozilla public license
 unlicense | unencumbered | this is free and unencumbered software released into the public domain
 wtfpl | fuck | do what the fuck you want to public license
-cc-by | attribution | you must give appropriate credit
+cc-by | credit | you must give appropriate credit
 cc0 | waived | has waived all copyright and related or neighboring rights
 ofl | font | licensed under the sil open font license
 """.strip()
 
+# Identifiers behind an SPDX tag, as words: label | regex.
+SPDX = """
+mit | mit
+mit-0 | mit 0
+mit-modern | mit modern variant
+apache | apache (?:1 [01]|2 0)
+gpl | gpl [123] 0(?: only| or later)?
+lgpl | lgpl [23] [01](?: only| or later)?
+agpl | agpl [13] 0(?: only| or later)?
+gfdl | gfdl 1 [123](?: only| or later)?
+bsd-0-clause | 0bsd
+bsd-2-clause | bsd 2 clause(?: patent| views)?
+bsd-3-clause | bsd 3 clause(?: clear| lbnl| attribution)?
+bsd-4-clause | bsd 4 clause(?: uc| shortened)?
+isc | isc
+mpl | mpl [12] [01](?: no copyleft exception)?
+epl | epl [12] 0
+cddl | cddl 1 [01]
+cpl | cpl 1 0
+eupl | eupl 1 [012]
+cecill | cecill (?:[12] [01]|b|c)
+artistic | artistic [12] 0(?: perl| cl8)?
+zlib | zlib(?: acknowledgement)?
+libpng | libpng(?: 2 0)?
+boost | bsl 1 0
+busl | busl 1 1
+unlicense | unlicense
+wtfpl | wtfpl
+beerware | beerware
+python | (?:python 2 0(?: 1)?|psf 2 0)
+php | php 3 0(?:1)?
+ruby | ruby
+openssl | openssl
+openldap | oldap 2 [0-8]
+postgresql | postgresql
+sqlite | blessing
+curl | curl
+ncsa | ncsa
+w3c | w3c(?: 19980720| 20150513)?
+icu | icu
+unicode | unicode (?:dfs 2015|dfs 2016|tou|3 0)
+vim | vim
+tcl | tcl
+lppl | lppl 1 (?:0|1|2|3a|3c)
+ofl | ofl 1 [01](?: rfn| no rfn)?
+bitstream | bitstream vera
+ms-pl | ms pl
+ms-rl | ms rl
+apsl | apsl [12] [012]
+npl | npl 1 [01]
+spl | spl 1 0
+ibm-pl | ipl 1 0
+intel | intel
+qpl | qpl 1 0
+rpl | rpl 1 [15]
+osl | osl [123] [01]
+afl | afl [123] [012]
+nasa | nasa 1 3
+ijg | ijg
+info-zip | info zip
+json | json
+upl | upl 1 0
+mulan | mulanpsl [12] 0
+odbl | odbl 1 0
+odc-by | odc by 1 0
+pddl | pddl 1 0
+etalab | etalab 2 0
+sspl | sspl 1 0
+elastic | elastic 2 0
+blue-oak | blueoak 1 0 0
+hippocratic | hippocratic 2 1
+cc-by | cc by [1234] [05]
+cc-by-sa | cc by sa [1234] [05]
+cc-by-nd | cc by nd [1234] [05]
+cc-by-nc | cc by nc [1234] [05]
+cc-by-nc-sa | cc by nc sa [1234] [05]
+cc-by-nc-nd | cc by nc nd [1234] [05]
+cc0 | cc0 1 0
+public-domain | cc pddc
+""".strip()
+
 STATEMENT = r"(?:licensed|released|distributed|available|published|covered|used) (?:under|by)(?: the)?(?: terms of)?(?: the)? "
 TAG = r"spdx license identifier "
 
@@ -176,10 +262,13 @@ def rules() -> list[Rule]:
         forms = [(int(priority), 0.7, name), (int(priority) + 20, 0.95, STATEMENT + name), (int(priority) + 30, 1.0, TAG + name)]
         if version != "-":
             forms.append((int(priority) + 10, 0.85, f"{name}(?: version| v)? {version}"))
-        made += [Rule(label, keyword, p, w, re.compile(f"(?<= )(?:{x})(?= )")) for p, w, x in forms]
+        made += [Rule(label, word, p, w, re.compile(f"(?<= )(?:{x})(?= )")) for p, w, x in forms for word in keyword.split(",")]
     for line in CLAUSES.splitlines():
         label, keyword, clause = (part.strip() for part in line.split("|", 2))
         made.append(Rule(label, keyword, 40, 1.0, re.compile(f"(?<= )(?:{clause})(?= )")))
+    for line in SPDX.splitlines():
+        label, name = (part.strip() for part in line.split("|", 1))
+        made.append(Rule(label, "spdx", 50, 1.0, re.compile(f"(?<= )(?:{TAG}{name})(?= )")))
     return made
 
 

@@ -176,10 +176,11 @@ def best_fit(lengths: np.ndarray, capacities, weights=WEIGHTS, by: str = "norm")
 
 def pack(cut: DataFrame, length: int = LENGTH, max_documents: int = DOCUMENTS, max_attention: float = ATTENTION,
          weights=WEIGHTS, by: str = "norm", shard_pieces: int = SHARD) -> DataFrame:
-    """``cut`` (a written table of pieces) with ``sequence_id`` and ``offset``."""
+    """``cut`` (a written table of pieces) with ``sequence_id`` and ``offset``; its column ``row``, a number of each
+    piece, deals the pieces over shards, so that equal rows do not meet in one."""
     count = cut.count()
     shards = max(1, round(count / shard_pieces))
-    sized = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(shards)))
+    sized = cut.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).drop("row")
 
     def fill(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
@@ -188,9 +189,10 @@ def pack(cut: DataFrame, length: int = LENGTH, max_documents: int = DOCUMENTS, m
         return shard.drop_columns("shard").append_column("sequence_id", pa.array(first + bins)).append_column(
             "offset", pa.array(offsets))
 
-    schema = cut.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
+    schema = cut.drop("row").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
     return sized.groupBy("shard").applyInArrow(fill, schema)
 
 
 def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, text: str = "text", **limits) -> DataFrame:
-    return pack(written(pieces(docs, tokenizer, length, text), "pieces"), length, **limits)
+    cut = pieces(docs, tokenizer, length, text).withColumn("row", F.monotonically_increasing_id())
+    return pack(written(cut, "pieces"), length, **limits)

@@ -262,8 +262,9 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, **settings)
 
     A text is rebuilt from its words, joined by one space.
     """
+    # Equal rows share a key and so their stretches, each of which is kept once.
     spans = repeated_spans(docs, text, window, **settings).groupBy("k1", "k2").agg(
-        F.collect_list("at").alias("_spans")).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+        F.collect_set("at").alias("_spans")).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
     k1, k2 = row_key("doc_id", text)
     keyed = docs.withColumns({"_k1": k1, "_k2": k2}).join(spans, ["_k1", "_k2"], "left").drop("_k1", "_k2")
     others = [c for c in docs.columns if c not in (text, "n_words", "n_removed")]

@@ -3,12 +3,13 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sluice.llm import decontaminate, line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
 from sluice.llm.license_rules import Rule, rules
-from sluice.llm.license_scan import detect
+from sluice.llm.license_scan import detect, scan_text
 from sluice.llm.queries import QUERIES, TOKENIZER
 from sluice.llm.url_filter import RULES
 from tests.llm import brute
@@ -80,6 +81,9 @@ def test_every_query_on_edges(spark, made):
     same("op8_best_fit_packing", brute.pieces(docs, tokenizer), "doc_id", "piece", "start", "length", "ids_crc32")
     same("op9_substring_dedup", brute.passages(docs))
     same("op10_url_filter", (w[:4] for w in brute.hosts(urls, RULES)), "page_id", "host", "path", "rule")
+    same("op11_jaccard_join", brute.jaccard_groups(docs))
+    same("op12_merkle_manifest", brute.merkle([(d, "s", None, None, t) for d, t in docs]))
+    assert got(spark, folder, "op13_phrase_collocations") == sorted(brute.phrases([(None, t) for _, t in docs]), key=repr)
     tokenizer.encode_special_tokens = True
     same("op5_token_counts", ((d, len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for d, t in docs),
          "doc_id", "n_tokens")
@@ -130,7 +134,7 @@ def test_rules_suppress_what_lies_inside():
     assert labels("under the gnu lesser general public license v3") == {"lgpl"}
     assert labels("cc by nc sa 4 0") == {"cc-by-nc-sa"}
     assert "cc-by" not in labels("licensed under cc by nc 4 0")
-    assert labels("spdx license identifier mit license") == {"mit"}
+    assert labels("spdx license identifier mit license") == labels("spdx license identifier mit") == {"mit"}
     assert len(rules()) > 300 and all(isinstance(r, Rule) for r in rules())
 
 
@@ -219,3 +223,81 @@ def test_pooled_is_monotone():
     x, y = quality_classifier.pooled(np.arange(6.0), np.ones(6), np.array([0, 1, 0, 1, 0, 1.0]))
     assert (np.diff(y) > 0).all() and (np.diff(x) > 0).all()
     assert quality_classifier.statistics(b"") == [0.0] * len(quality_classifier.STATISTICS)
+
+
+def test_every_keyword_stands_in_each_match_of_its_rule():
+    """Random matches of every pattern: one of the keywords under which it is registered is among their words."""
+    from re import _parser
+
+    draw, keywords = random.Random(3), {}
+    for rule in rules():
+        keywords.setdefault((rule.label, rule.pattern.pattern), set()).add(rule.keyword)
+
+    def made(parsed):
+        out = ""
+        for kind, value in parsed:
+            name = str(kind)
+            if name == "LITERAL":
+                out += chr(value)
+            elif name == "NOT_LITERAL":
+                out += draw.choice("xyz")
+            elif name == "IN":
+                picked = draw.choice(value)
+                out += "x" if str(picked[0]) == "NEGATE" else chr(picked[1] if str(picked[0]) == "LITERAL" else draw.randint(*picked[1]))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                low, high, below = value
+                out += "".join(made(below) for _ in range(draw.randint(low, min(high, low + 2))))
+            elif name == "SUBPATTERN":
+                out += made(value[-1])
+            elif name == "BRANCH":
+                out += made(draw.choice(value[1]))
+        return out
+
+    for (label, pattern), words in keywords.items():
+        for _ in range(40):
+            text = made(_parser.parse(pattern))
+            assert words & set(text.split()), (label, pattern, text)
+
+
+def test_spdx_tags_and_long_holders():
+    by_keyword = {}
+    for order, rule in enumerate(rules()):
+        by_keyword.setdefault(rule.keyword, []).append((order, rule))
+    said = lambda text: scan_text(text.encode(), by_keyword)["labels"]
+    for tag, label in {"MIT": "mit", "ISC": "isc", "Zlib": "zlib", "EPL-2.0": "epl", "BSL-1.0": "boost", "Artistic-2.0": "artistic",
+                       "GPL-2.0-or-later": "gpl", "LGPL-2.1-only": "lgpl", "Apache-2.0": "apache", "CC-BY-NC-SA-4.0": "cc-by-nc-sa",
+                       "BSD-3-Clause": "bsd-3-clause", "0BSD": "bsd-0-clause"}.items():
+        assert said(f"// SPDX-License-Identifier: {tag}\n") == label, tag
+    assert said("the Common Public License 1.0") == "cpl" and said("under FreeBSD license") == "bsd-2-clause"
+    assert said("lgplv3 or later") == "lgpl"
+    assert said("Permission is hereby granted, free of charge, to any person obtaining a copy") == "mit"
+    holder = "the Regents of the University of a State with a very long name, its laboratories and all of its other contributors,"
+    assert said(f"Neither the name of {holder} may be used to endorse or promote products") == "bsd-3-clause"
+
+
+def test_many_empty_texts_and_a_phrase_of_all_items(spark):
+    nulls = spark.range(300_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    some = spark.createDataFrame([(1, "a common head of the prompt w1 and on"), (2, "common head of"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"common head of the prompt w{i}") for i in range(2000)], "item_id long, text string")
+    found = decontaminate.hits(nulls.unionByName(some).coalesce(1), bench, window=5)
+    assert found.count() == 300_003 and found.where("n_hit = 0").count() == 300_002
+    row = found.where("n_hit > 0").first()
+    assert (row.doc_id, row.n_hit, len(row["items"])) == (1, 6, 2000)
+
+
+def test_equal_rows_are_packed_in_all_shards(spark):
+    rows = [(None, "one two three")] * 600 + [(i, "four five " * (i % 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cut = packing.pieces(df, TOKENIZER).withColumn("row", F.monotonically_increasing_id())
+    from sluice.llm.common import written
+    placed = packing.pack(written(cut, "pieces"), shard_pieces=100)
+    assert placed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    shards = placed.withColumn("shard", F.shiftright("sequence_id", 32)).groupBy("shard").count().collect()
+    assert len(shards) == 9 and max(r["count"] for r in shards) < 200 and sum(r["count"] for r in shards) == len(rows)
+
+
+def test_repeated_rows_keep_their_stretches_once(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = [(1, passage)] * 50 + [(2, f"x y {passage} z"), (3, "a b c")]
+    got = substring_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).select("doc_id", "n_words", "n_removed").collect()
+    assert sorted(map(tuple, got)) == [(1, 60, 60)] * 50 + [(2, 63, 60), (3, 3, 0)]
