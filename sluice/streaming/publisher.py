@@ -13,6 +13,7 @@ slices there are. Within a slice the rows are dealt evenly over the files, also
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,19 +93,19 @@ def publish_in_order(topics: dict[str, DataFrame], folder: str, *, slices: int =
     if cuts:
         # Rows without a time go to the first slice.
         number = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= _instant())), F.lit(0))
-    staged = {}
-    for topic, rows in topics.items():
-        rows.withColumn(SLICE, number).write.partitionBy(SLICE).parquet(f"{folder}/staged-{topic}")
-        with_slice = T.StructType([*rows.schema.fields, T.StructField(SLICE, T.IntegerType())])
-        staged[topic] = spark.read.schema(with_slice).parquet(f"{folder}/staged-{topic}")
     stored = encode or (lambda topic, rows: rows)
-    for at in range(len(cuts) + 1):
-        for topic, rows in staged.items():
-            append_files(stored(topic, rows.where(F.col(SLICE) == at).drop(SLICE)), f"{folder}/ordered-{topic}", files)
-    made = {}
-    for topic, rows in topics.items():
+
+    def publish(topic: str) -> OrderedTopic:
+        rows, path, staged = topics[topic], f"{folder}/ordered-{topic}", f"{folder}/staged-{topic}"
+        rows.withColumn(SLICE, number).write.partitionBy(SLICE).parquet(staged)
+        sliced = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField(SLICE, T.IntegerType())])).parquet(staged)
+        for at in range(len(cuts) + 1):
+            append_files(stored(topic, sliced.where(F.col(SLICE) == at).drop(SLICE)), path, files)
         last = stored(topic, closing_row(rows))
         if closing:
-            append_files(last, f"{folder}/ordered-{topic}", 1)
-        made[topic] = OrderedTopic(f"{folder}/ordered-{topic}", last.schema, files, len(cuts) + 1)
-    return made
+            append_files(last, path, 1)
+        return OrderedTopic(path, last.schema, files, len(cuts) + 1)
+
+    # Only the slices of one topic have to follow one another.
+    with ThreadPoolExecutor(len(topics)) as pool:
+        return dict(zip(topics, pool.map(publish, topics)))
