@@ -18,7 +18,7 @@ def check(spark, rows, parts=3):
     _same(rows_of(merkle.verified(df)), brute.merkle(rows))
 
 
-@pytest.mark.parametrize("sizes", [[1], [2], [16], [17], [1, 1], [257, 1, 16, 3], [1] * 18, [5000, 40]])
+@pytest.mark.parametrize("sizes", [[1], [16], [17, 1], [257, 1, 16, 3], [1] * 18])
 def test_trees_of_any_height(spark, sizes):
     rows = [(i, f"s{s:02}", "en", i, f"Text {s} {i}") for s, n in enumerate(sizes) for i in range(n)]
     check(spark, rows)
