@@ -241,7 +241,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, gr
                    crowded: int = CROWDED, shard_regions: int = SHARD_REGIONS) -> DataFrame:
     """Row keys with ``at``, first and last start of a stretch of windows that also occur elsewhere."""
     every = written(regions(docs, text, window, gram), "regions")
-    again = every.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor")
+    # What has been counted is written before it is joined: of two read sides AQE splits a hot key, or broadcasts a small one.
+    again = written(
+        every.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor"), "repeated-anchors")
     candidates = written(every.join(again, "anchor"), "candidates")
     counted = written(
         candidates.groupBy("anchor", "content").agg(
@@ -249,7 +251,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, gr
         "counted-regions")
     whole = candidates.join(counted.where("n > 1").select("anchor", "content"), ["anchor", "content"]).select(
         "k1", "k2", "at")
-    different = counted.groupBy("anchor").agg(F.count("*").alias("different")).where("different > 1")
+    different = written(
+        counted.groupBy("anchor").agg(F.count("*").alias("different")).where("different > 1"), "anchors-of-several")
     compared = written(_with_words(counted.join(different, "anchor"), docs, text, window), "compared-regions")
     few = compared.where(F.col("different") <= crowded)
     shards = max(1, -(-few.count() // shard_regions))
