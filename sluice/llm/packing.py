@@ -3,8 +3,9 @@
 A bin has three capacities: tokens, documents and attention cost (the sum of squared piece lengths). Pieces are dealt
 over shards of about ``SHARD`` pieces by a hash, longest first within a shard; each goes to the open bin that can take it
 under every capacity and scores best, by the norm of what would be left (``norm``) or by the weighted dot product of its
-demand with what is free (``dot``). A shard leaves at most a bin or so that more pieces could have filled, so thousands
-of pieces a shard cost next to nothing. Tokens are encoded word by word, each distinct word of a batch once.
+demand with what is free (``dot``). A shard leaves a few bins that more pieces could have filled: bins under ``FULL`` of
+their tokens are taken apart again, and the pieces of all shards' are dealt and packed once more, until one shard holds
+what is left or its pieces no longer halve. Tokens are encoded word by word, each distinct word of a batch once.
 
 Defined results: a null or empty text is the separator alone; repeated documents are packed each for itself; ties in
 length are broken by id and piece, ties in score by the older bin; other columns are not read.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from functools import reduce
 from itertools import compress
 from operator import not_
 from typing import ClassVar
@@ -28,9 +30,10 @@ from sluice.llm.common import texts, written
 LENGTH = 2048
 SEPARATOR = 0
 SHARD = 6_000
-DOCUMENTS = LENGTH  # a piece has a token at least: these two bind only where a caller asks for less
+DOCUMENTS = LENGTH  # a piece has a token at least: these two refuse a bin only where a caller asks for less
 ATTENTION = LENGTH * LENGTH
-WEIGHTS = (1.0, 0.0, 0.0)
+WEIGHTS = (1.0, 1.0, 1.0)  # of tokens, documents and attention in the score
+FULL = 0.95
 KNOWN_WORDS = 600_000
 ENDS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 
@@ -175,22 +178,42 @@ def best_fit(lengths: np.ndarray, capacities, weights=WEIGHTS, by: str = "norm")
 
 
 def pack(cut: DataFrame, length: int = LENGTH, max_documents: int = DOCUMENTS, max_attention: float = ATTENTION,
-         weights=WEIGHTS, by: str = "norm", shard_pieces: int = SHARD) -> DataFrame:
+         weights=WEIGHTS, by: str = "norm", shard_pieces: int = SHARD, full: float = FULL) -> DataFrame:
     """``cut`` (a written table of pieces) with ``sequence_id`` and ``offset``; its column ``row``, a number of each
     piece, deals the pieces over shards, so that equal rows do not meet in one."""
-    count = cut.count()
-    shards = max(1, round(count / shard_pieces))
-    sized = cut.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).drop("row")
-
-    def fill(shard: pa.Table) -> pa.Table:
-        shard = shard.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        bins, offsets = best_fit(shard["length"].to_numpy(), (length, max_documents, max_attention), weights, by)
-        first = shard["shard"][0].as_py() << 32
-        return shard.drop_columns("shard").append_column("sequence_id", pa.array(first + bins)).append_column(
-            "offset", pa.array(offsets))
-
-    schema = cut.drop("row").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-    return sized.groupBy("shard").applyInArrow(fill, schema)
+    capacities = length, max_documents, max_attention
+
+    def shards_of(pieces: DataFrame) -> int:
+        return max(1, round(pieces.count() / shard_pieces))
+
+    def filled(pieces: DataFrame, shards: int, first_shard: int) -> DataFrame:
+        """``pieces`` in bins whose numbers begin at ``first_shard``; ``rest`` marks those of bins that are not ``full``."""
+        def fill(shard: pa.Table) -> pa.Table:
+            shard = shard.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+            lengths = shard["length"].to_numpy()
+            bins, offsets = best_fit(lengths, capacities, weights, by)
+            rest = np.bincount(bins, lengths)[bins] < full * length
+            first = shard["shard"][0].as_py() + first_shard << 32
+            return shard.drop_columns("shard").append_column("sequence_id", pa.array(first + bins)).append_column(
+                "offset", pa.array(offsets)).append_column("rest", pa.array(rest))
+
+        added = {"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "rest": F.lit(False)}
+        return pieces.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).groupBy("shard").applyInArrow(
+            fill, pieces.withColumns(added).schema)
+
+    parts, left, first, shards = [], cut, 0, shards_of(cut)
+    while True:
+        placed = filled(left, shards, first)
+        if shards == 1:
+            break
+        placed = written(placed, "placed-pieces")
+        left = placed.where("rest").drop("sequence_id", "offset", "rest")
+        fewer = shards_of(left)
+        if fewer > shards // 2:
+            break
+        parts.append(placed.where("NOT rest"))
+        first, shards = first + shards, fewer
+    return reduce(DataFrame.unionByName, [*parts, placed]).drop("row", "rest")
 
 
 def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, text: str = "text", **limits) -> DataFrame:

@@ -301,3 +301,35 @@ def test_repeated_rows_keep_their_stretches_once(spark):
     docs = [(1, passage)] * 50 + [(2, f"x y {passage} z"), (3, "a b c")]
     got = substring_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).select("doc_id", "n_words", "n_removed").collect()
     assert sorted(map(tuple, got)) == [(1, 60, 60)] * 50 + [(2, 63, 60), (3, 3, 0)]
+
+
+def test_rests_of_all_shards_are_packed_together(spark):
+    """Sixty shards of a few pieces each: alone they leave a poor bin each, together hardly any."""
+    rows = [(i, 0, 0, 1 + (i * 7919) % 900, 0, i) for i in range(1200)]
+    names = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
+    cut = spark.createDataFrame(rows, names)
+    least = sum(r[3] for r in rows) / packing.LENGTH
+
+    def bins(**settings):
+        held = {}
+        for r in sorted(packing.pack(cut, shard_pieces=20, **settings).collect(), key=lambda r: (r.sequence_id, r.offset)):
+            assert held.get(r.sequence_id, 0) == r.offset
+            held[r.sequence_id] = r.offset + r.length
+        assert max(held.values()) <= packing.LENGTH and sum(held.values()) == sum(r[3] for r in rows)
+        return len(held)
+
+    alone, together = bins(full=0.0), bins()
+    assert alone > 1.05 * least and together - least < (alone - least) / 2
+
+
+def test_a_hot_anchor_is_shared_by_many_texts(spark):
+    """A third of all texts hold one passage, each in different surroundings."""
+    passage = [f"p{i}" for i in range(40)]
+    docs = []
+    for d in range(90):
+        own = [f"d{d}w{i}" for i in range(50)]
+        docs.append((d, " ".join(own[:25] + (passage if d % 3 == 0 else []) + own[25:])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    for crowded in (2, 2_000):
+        got = {r.doc_id: r.n_removed for r in substring_dedup.dedup(df, crowded=crowded).collect()}
+        assert got == {d: 40 if d % 3 == 0 else 0 for d in range(90)}
