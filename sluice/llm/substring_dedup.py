@@ -211,7 +211,8 @@ def _by_window(compared: DataFrame, window: int) -> DataFrame:
 
     windows = written(compared.mapInArrow(
         cut, "w1 long, w2 long, k1 long, k2 long, start long, n long"), "crowded-windows")
-    repeated = windows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1").select("w1", "w2")
+    repeated = written(
+        windows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1").select("w1", "w2"), "repeated-windows")
     start = F.col("start")
     return windows.where("n = 1").join(repeated, ["w1", "w2"]).select(
         "k1", "k2", F.shiftleft(start, AT).bitwiseOR(start).alias("at"))
