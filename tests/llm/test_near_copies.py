@@ -64,3 +64,34 @@ def test_cells_in_tiles_and_chains_give_the_same(spark):
     for cell_rows in (1, 3):
         few = near_copies.simhash.one_of_each(df, groups=near_copies.near_groups, cell_rows=cell_rows)
         assert sorted(r.doc_id for r in few.collect()) == want, cell_rows
+
+
+def test_fingerprints_propose_links_and_exact_sets_decide(spark):
+    draw = random.Random(7)
+    base = [f"w{draw.randrange(5000)}" for _ in range(3000)]
+    docs = [(0, " ".join(base)), *[(1 + i, " ".join([*base[:50 * i], f"new{i}", *base[50 * i + 1:]])) for i in range(20)]]
+    docs += [(100 + i, " ".join(f"w{draw.randrange(5000)}" for _ in range(300))) for i in range(10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "0L AS _k1", "0L AS _k2", "text")
+    marked = {r.node: r.fp & (1 << 64) - 1 for r in near_copies.marks(df).collect()}
+    points = spark.createDataFrame([(n, fp - (1 << 64) if fp >> 63 else fp) for n, fp in marked.items()], "node long, fp long")
+    pairs = [tuple(r) for r in near_copies.proposed(points).collect()]
+    apart = lambda a, b: (marked[a] ^ marked[b]).bit_count()
+    assert pairs and all(a < b and apart(a, b) <= 4 for a, b in pairs)
+
+    def groups(edges):
+        root = {n: n for n in marked}
+
+        def find(n):
+            return n if root[n] == n else find(root[n])
+
+        for a, b in edges:
+            root[find(a)] = find(b)
+        return {frozenset(n for n in marked if find(n) == r) for r in map(find, marked)}
+
+    assert groups(pairs) == groups([(a, b) for a in marked for b in marked if apart(a, b) <= 4])
+
+    # Proposed pairs are linked without a cell that they share, but only if their sets are similar.
+    sets = {1: b"abcdefgh" * 4 + b"ijklmnop", 2: b"abcdefgh" * 4 + b"ijklmnop", 3: b"qrstuvwx"}
+    held = spark.createDataFrame([(n, bytearray(s)) for n, s in sets.items()], "node long, held binary")
+    arms = spark.createDataFrame([(1, 2), (1, 3)], "lead long, node long")
+    assert {tuple(sorted(r)) for r in near_copies._stars(arms, held, 512).collect()} == {(1, 2)}
