@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timing import time_slice
@@ -21,6 +23,30 @@ def seller_salts(spark: SparkSession) -> int:
     return min(MOST_SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+# A seller with this share of the rows may be a hot one.
+HOT_SHARE = 0.01
+
+
+def hot_sellers(auction: DataFrame) -> list:
+    """Every seller with at least ``HOT_SHARE`` of the stored auctions, and some others, 1 / ``HOT_SHARE`` at most in all:
+    counted in one pass that keeps no more sellers than that."""
+    sold = auction.where("seller IS NOT NULL")
+    return list(sold.stat.freqItems(["seller"], HOT_SHARE).first()[0] or ())
+
+
+def salts_of(seller: Column, salts: int, hot: Sequence | None, kind: str) -> tuple[Column, Column]:
+    """Over how many salts a seller is dealt, and all of these: one salt for sellers that are known not to be hot.
+
+    ``hot`` None means that nothing is known of the sellers, so each of them is dealt over all salts.
+    """
+    if hot is None:
+        spread = F.lit(True)
+    else:
+        spread = seller.isin(*[F.lit(h).cast(kind) for h in hot]) if hot else F.lit(False)
+    number = F.when(spread, F.lit(salts)).otherwise(F.lit(1))
+    return number, F.sequence(F.lit(0), number - 1)
+
+
 def emit_once(auction: DataFrame, person: DataFrame, *, key_type: str = "bigint", time_slices: str | None = None) -> DataFrame:
     """``name, city, state, id`` in the order of event time.
 

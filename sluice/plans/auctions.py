@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.emit_once import emit_once, seller_salts
+from ..operators.emit_once import emit_once, salts_of, seller_salts
 from ..operators.windows import early_firings, hop_counts, peak_rows, session_counts
 from ..schemas import TIME, result_schema
 from ..sources.mapped import HOT_AUCTIONS
@@ -57,29 +57,33 @@ def q2_modulo(bid: DataFrame, divisors: Sequence[int] = HOT_AUCTIONS) -> DataFra
 
 
 def q3(auction: DataFrame, person: DataFrame, *, states: Sequence[str] = LOCAL_STATES,
-       category: int = LOCAL_CATEGORY, key_type: str = "bigint") -> DataFrame:
+       category: int = LOCAL_CATEGORY, key_type: str = "bigint", hot: Sequence | None = None) -> DataFrame:
     """Who sells locally in a category, over all history.
 
     On streams both sides are kept as state for good, as the query asks.
     """
     items = auction.where(F.col("category") == category)
-    return join_sellers(items, person.where(F.col("state").isin(*states)), key_type=key_type)
+    return join_sellers(items, person.where(F.col("state").isin(*states)), key_type=key_type, hot=hot)
 
 
-def join_sellers(items: DataFrame, sellers: DataFrame, *, key_type: str = "bigint") -> DataFrame:
+def join_sellers(items: DataFrame, sellers: DataFrame, *, key_type: str = "bigint", hot: Sequence | None = None) -> DataFrame:
     """Items with their sellers' details."""
     named = sellers.select(F.col("id").cast(key_type).alias("person_id"), "name", "city", "state")
     sold = items.select(F.col("seller").cast(key_type).alias("seller"), "id")
-    return _of_seller(sold, named, F.col("seller") == F.col("person_id"), "id").select("name", "city", "state", "id")
+    same = F.col("seller") == F.col("person_id")
+    return _of_seller(sold, named, same, "person_id", "id", hot).select("name", "city", "state", "id")
 
 
-def _of_seller(items: DataFrame, persons: DataFrame, same, deal_by: str) -> DataFrame:
-    """Items joined with their persons. In batch AQE splits a hot seller; on streams its items are dealt over salts."""
+def _of_seller(items: DataFrame, persons: DataFrame, same, person_id: str, deal_by: str, hot: Sequence | None) -> DataFrame:
+    """Items joined with their persons. In batch AQE splits a hot seller; on streams its items are dealt over salts, those
+    of every seller if it is not known which ones may be hot."""
     if not items.isStreaming:
         return items.join(persons, same)
-    salts = seller_salts(items.sparkSession)
-    dealt = items.withColumn("_salt", F.pmod(F.xxhash64(deal_by), F.lit(salts)).cast("int"))
-    spread = persons.withColumn("_person_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salts, kind = seller_salts(items.sparkSession), items.schema["seller"].dataType.simpleString()
+    number, _ = salts_of(F.col("seller"), salts, hot, kind)
+    _, every_salt = salts_of(F.col(person_id), salts, hot, kind)
+    dealt = items.withColumn("_salt", F.pmod(F.xxhash64(deal_by), number).cast("int"))
+    spread = persons.withColumn("_person_salt", F.explode(every_salt))
     return dealt.join(spread, same & (F.col("_salt") == F.col("_person_salt")))
 
 
@@ -113,12 +117,12 @@ def q8(person: DataFrame, auction: DataFrame, *, size: str = "10 seconds") -> Da
     return persons.join(sellers, same).select("id", "name", F.col("w.start").alias("stime"))
 
 
-def q8_pairs(person: DataFrame, auction: DataFrame, *, size: str = "10 seconds") -> DataFrame:
+def q8_pairs(person: DataFrame, auction: DataFrame, *, size: str = "10 seconds", hot: Sequence | None = None) -> DataFrame:
     """Every pair of a person and an auction of theirs within the same window."""
     persons = person.select("id", "name", F.window(TIME, size).alias("w"))
     items = auction.select("seller", "reserve", F.col("id").alias("item"), F.window(TIME, size).alias("seller_w"))
     same = (F.col("id") == F.col("seller")) & (F.col("w") == F.col("seller_w"))
-    return _of_seller(items, persons, same, "item").select("id", "name", "reserve")
+    return _of_seller(items, persons, same, "id", "item", hot).select("id", "name", "reserve")
 
 
 def q11(bid: DataFrame, *, gap: str = "10 seconds") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.emit_once import hot_sellers
 from ..operators.scan import Selection, TopicCriteria, observed_scan, scan_topic
 from ..plans import auctions, catalog, pushdown, wordcount
 from ..schemas import TIME, topic_schema
@@ -73,6 +74,10 @@ def _in_order(spark, folder, out, *names, closing=True, watermark=WATERMARK_DELA
     return streams[0] if len(streams) == 1 else streams
 
 
+def _hot(spark, folder):
+    return hot_sellers(mapped.auction(spark, folder))
+
+
 @stream_query
 def stream_q0(spark, folder, out):
     return auctions.q0(_bid(spark, folder))
@@ -127,20 +132,21 @@ for _name in ("q1", "q3", "q5", "q8", "q11"):
 
 @stream_query
 def stream_q3(spark, folder, out):
-    return auctions.q3(_auction(spark, folder), _person(spark, folder, out))
+    return auctions.q3(_auction(spark, folder), _person(spark, folder, out), hot=_hot(spark, folder))
 
 
 @stream_query
 def stream_q3_incremental(spark, folder, out):
     auction, person = _in_order(spark, folder, out, "auction", "person", closing=False)
-    return emit_once_stream(auction, person.where(F.col("state").isin(*auctions.LOCAL_STATES)))
+    return emit_once_stream(auction, person.where(F.col("state").isin(*auctions.LOCAL_STATES)), hot=_hot(spark, folder))
 
 
 @stream_query
 def stream_q3_versions(spark, folder, out):
     auction, person = _in_order(
         spark, folder, out, "auction", "person", closing=False, person=catalog.person_versions(spark, folder))
-    return emit_once_stream(auction, person.where(F.col("state").isin(*auctions.LOCAL_STATES, "WA")), key_type="string")
+    local = person.where(F.col("state").isin(*auctions.LOCAL_STATES, "WA"))
+    return emit_once_stream(auction, local, key_type="string", hot=_hot(spark, folder))
 
 
 @stream_query
@@ -173,7 +179,7 @@ def stream_q8(spark, folder, out):
 @stream_query
 def stream_q8_pairs(spark, folder, out):
     person, auction = _in_order(spark, folder, out, "person", "auction", closing=False)
-    return auctions.q8_pairs(person, auction, size=catalog.TUMBLE)
+    return auctions.q8_pairs(person, auction, size=catalog.TUMBLE, hot=_hot(spark, folder))
 
 
 @stream_query

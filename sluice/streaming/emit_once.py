@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.emit_once import PERSON_FIELDS, seller_salts
+from ..operators.emit_once import PERSON_FIELDS, salts_of, seller_salts
 from ..operators.windows import count_up
 from ..schemas import TIME
 from .precombine import combine_copies
@@ -96,11 +96,13 @@ def _bytes(frame: pd.DataFrame, schema: pa.Schema) -> bytes:
 
 
 def emit_once_stream(auction: DataFrame, person: DataFrame, *, key_type: str = "bigint",
-                     salts: int | None = None) -> DataFrame:
+                     salts: int | None = None, hot: Sequence | None = None) -> DataFrame:
     """``name, city, state, id``, each auction once.
 
     Sellers share buckets, so that a micro-batch is worked off in a few calls. The auctions of a seller are dealt over
     salts, an id always to the same one, so the waiting ids stay a set; every bucket of a seller's salts knows the seller.
+    Where the sellers that may be hot are known (``hot``, the same after every restart), all others have a single salt
+    and their persons a single copy.
     Copies of an auction are counted per task before they are shuffled. Rows without a seller match nothing.
     """
     spark = auction.sparkSession
@@ -109,12 +111,12 @@ def emit_once_stream(auction: DataFrame, person: DataFrame, *, key_type: str = "
     bucket = lambda salt: F.pmod(F.xxhash64("seller", salt), F.lit(buckets)).cast("int")
     page = F.pmod(F.xxhash64(F.lit(1), "seller"), F.lit(PAGES)).cast("int").alias("page")
     at = F.coalesce(F.unix_micros(TIME), F.lit(EARLIEST + 1))
-    salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
+    number, every_salt = salts_of(F.col("seller"), salts, hot, key_type)
+    salt = F.pmod(F.xxhash64("id"), number).cast("int")
     items = combine_copies(auction.select(F.col("seller").cast(key_type).alias("seller"), at.alias("at"), "id").where(
         "seller IS NOT NULL").select("seller", bucket(salt).alias("bucket"), "at", "id")).select(
         "seller", "bucket", page, "at", F.coalesce("id", F.lit(0).cast("bigint")).alias("id"), F.col("id").isNotNull().alias("has_id"),
         "copies", F.lit(False).alias("is_person"), *[F.lit(None).cast("string").alias(f) for f in PERSON_FIELDS])
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
     sellers = person.select(F.col("id").cast(key_type).alias("seller"), at.alias("at"), *PERSON_FIELDS).where(
         "seller IS NOT NULL").select(
         "seller", F.explode(F.array_distinct(F.transform(every_salt, bucket))).alias("bucket"), page, "at",

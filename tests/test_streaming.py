@@ -452,3 +452,25 @@ def test_word_count_updates(lines, folder, collected):
     got = jobs.latest_updates(stream.sparkSession, f"{folder}/out", counts.schema, ["word"])
     assert collected(got) == collected(wordcount.wordcount(batch))
     assert len(os.listdir(f"{folder}/out/updates")) == 3
+
+
+def test_only_hot_sellers_are_dealt_over_salts(spark, sales, folder, collected):
+    """Persons of all other sellers are kept once, whatever the number of salts; results do not depend on it."""
+    from sluice.operators.emit_once import hot_sellers
+
+    people, items = sales
+    many = spark.range(1000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 50 = 1 THEN NULL ELSE id END AS seller")
+    hot = hot_sellers(many)
+    assert 7 in hot and len(hot) <= 100 and None not in hot
+    want = collected(auctions.q8_pairs(people.batch(), items.batch()))
+    for name, known in (("none", []), ("some", [3, 7])):
+        stream = auctions.q8_pairs(people.stream(), items.stream(), hot=known)
+        rows = jobs.run_available(stream, f"{folder}/pairs-{name}")
+        assert want and collected(jobs.zoneless(jobs.written(spark, f"{folder}/pairs-{name}", stream.schema))) == want
+        if not known:  # 16 persons and 106 items, each put in at most once
+            assert sum(op.numRowsUpdated for p in rows for op in p.stateOperators) <= 16 + 106
+    want = collected(auctions.q3_incremental(items.batch(), people.batch(), states=("OR",)))
+    local = lambda df: df.where(F.col("state") == "OR")
+    for key_type, known in (("bigint", []), ("string", [3, 7])):
+        stream = emit_once_stream(items.stream(100), local(people.stream(100)), salts=5, hot=known, key_type=key_type)
+        assert want and collected(run(stream, folder, f"hot-{key_type}")) == want
