@@ -13,12 +13,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.emit_once import PERSON_FIELDS, salts_of, seller_salts
 from ..operators.windows import count_up
 from ..schemas import TIME
-from .precombine import combine_copies
+from .precombine import PAGES, as_bytes, combine_copies
 
 DETAILS = "name string, city string, state string"
 OUTPUT = f"{DETAILS}, id bigint, has_id boolean, copies bigint"
-# State keys per state partition, each one call of the processor in a micro-batch, and pages of state in each.
-BUCKETS_PER_PARTITION, PAGES = 2, 16
+# State keys per state partition, each one call of the processor in a micro-batch.
+BUCKETS_PER_PARTITION = 2
 EARLIEST = -(1 << 63)
 KNOWN, WAITING = ["page", "seller", *PERSON_FIELDS], ["page", "seller", "id", "has_id"]
 
@@ -89,10 +89,7 @@ class EmitOnceJoin(StatefulProcessor):
 
 
 def _bytes(frame: pd.DataFrame, schema: pa.Schema) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, schema) as out:
-        out.write_table(pa.Table.from_pandas(frame, schema, preserve_index=False))
-    return sink.getvalue().to_pybytes()
+    return as_bytes(pa.Table.from_pandas(frame, schema, preserve_index=False))
 
 
 def emit_once_stream(auction: DataFrame, person: DataFrame, *, key_type: str = "bigint",

@@ -20,6 +20,32 @@ HELD_ROWS = 200_000
 HELD_INSTANTS = 1_000_000
 
 
+# Pages of state in a bucket of keys.
+PAGES = 16
+
+
+def keyed(rows: DataFrame, key: str) -> DataFrame:
+    """The key as ``key`` without nulls, and ``has_key``: pandas has no nulls among numbers."""
+    kind = rows.schema[key].dataType
+    named = rows.withColumnRenamed(key, "key")
+    return named.withColumns({"has_key": F.col("key").isNotNull(), "key": F.coalesce("key", F.lit("0").cast(kind))})
+
+
+def bucket_and_page(rows: DataFrame, buckets_per_partition: int) -> DataFrame:
+    """Adds the state key that a ``key`` shares with others, and its page of state there."""
+    buckets = buckets_per_partition * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumns({
+        "bucket": F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"),
+        "page": F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(PAGES)).cast("int")})
+
+
+def as_bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 def _folded(combine: Callable[[pa.Table], pa.Table]):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0

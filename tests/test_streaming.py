@@ -474,3 +474,25 @@ def test_only_hot_sellers_are_dealt_over_salts(spark, sales, folder, collected):
     for key_type, known in (("bigint", []), ("string", [3, 7])):
         stream = emit_once_stream(items.stream(100), local(people.stream(100)), salts=5, hot=known, key_type=key_type)
         assert want and collected(run(stream, folder, f"hot-{key_type}")) == want
+
+
+def test_many_keys_share_few_state_keys(spark, folder, collected):
+    """A call of the processor per bucket and not per key, over several micro-batches and with a null key."""
+    session = stream_session(spark)
+    buckets = 8 * int(session.conf.get("spark.sql.shuffle.partitions"))
+    rows = session.range(3000).selectExpr(
+        "id % 5 AS auction", "IF(id % 700 = 0, NULL, id % 700) AS bidder", "1L AS price",
+        "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) AS dateTime", "'e' AS extra")
+    made = publish_in_order({"bid": rows}, folder, slices=3, files=1)["bid"]
+    sessions = early_sessions_stream(jobs.zoned(made.stream(session)), gap="1500 seconds", every=2)
+    seen = jobs.run_available(sessions, f"{folder}/sessions")
+    assert 0 < max(op.numRowsTotal for p in seen for op in p.stateOperators) <= buckets * (2 * 16 + 4)
+    want = auctions.q11_early(rows, gap="1500 seconds", every=2).collect()
+    got = jobs.written(spark, f"{folder}/sessions", sessions.schema).where("bidder IS NULL OR bidder >= 0").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and any(r.bidder is None for r in got)
+
+    counts = running_count_stream(made.stream(session).where("price > 0").select("bidder"), "bidder")
+    seen = jobs.run_available(counts, f"{folder}/counts")
+    assert 0 < max(op.numRowsTotal for p in seen for op in p.stateOperators) <= buckets * 2 * 16
+    got = jobs.written(spark, f"{folder}/counts", counts.schema).groupBy("bidder").agg(F.sort_array(F.collect_list("num")).alias("n")).collect()
+    assert len(got) == 700 and all(r.n == list(range(1, len(r.n) + 1)) for r in got) and sum(len(r.n) for r in got) == 3000
