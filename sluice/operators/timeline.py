@@ -77,12 +77,17 @@ def _sum_before(totals: DataFrame, keys: list[str], span_by: Column | None) -> D
         return carried.where(F.col("_amount").isNotNull()).select(*keys, "_slice", "_amount")
     spanned = totals.withColumn("_span", span_by)
     spans = spanned.groupBy(*keys, "_span").agg(F.sum("_total").alias("_total"))
+    return sum_before(spanned, spans, keys).where(F.col("_amount").isNotNull()).select(*keys, "_slice", "_amount")
+
+
+def sum_before(spanned: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``_amount``, the total of a key's earlier slices (null without any), to slices with ``_total`` and ``_span``;
+    ``spans`` holds the total of every key and span."""
     before = spans.withColumn("_total", F.sum("_total").over(_so_far(keys, "_span"))).where(F.col("_total").isNotNull())
     line = spanned.withColumn(_CARRIED, F.lit(1)).unionByName(
         before.withColumn(_CARRIED, F.lit(0)), allowMissingColumns=True)
     within = Window.partitionBy(*keys, "_span").orderBy(_CARRIED, "_slice").rowsBetween(Window.unboundedPreceding, -1)
-    summed = line.withColumn("_amount", F.sum("_total").over(within))
-    return summed.where((F.col(_CARRIED) == 1) & F.col("_amount").isNotNull()).select(*keys, "_slice", "_amount")
+    return line.withColumn("_amount", F.sum("_total").over(within)).where(F.col(_CARRIED) == 1).drop(_CARRIED)
 
 
 def running_sum(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import words
-from ..operators.timeline import SPAN_SLICES, running_sum
+from ..operators.timeline import SPAN_SLICES, sum_before
 
 
 def word_rows(lines: DataFrame, text: str = "text", *, rebalance: int | None = None) -> DataFrame:
@@ -29,10 +32,45 @@ def wordcount_two_inputs(one: DataFrame, two: DataFrame, text: str = "text") ->
 
 def wordcount_running(lines: DataFrame, position: str, text: str = "text", *, lines_per_slice: int = 1_000,
                       slices_per_span: int = SPAN_SLICES) -> DataFrame:
-    """Every word occurrence with its count so far, lines in order of the (integer, unique) position column."""
-    occurrences = lines.select(position, F.posexplode(words(text)).alias("place", "word"))
-    slices = F.call_function("div", F.col(position), F.lit(lines_per_slice))
-    spans = F.call_function("div", F.col("_slice"), F.lit(slices_per_span))
-    counted = running_sum(
-        occurrences, ["word"], [position, "place"], slices, F.lit(1).cast("bigint"), "num", span_by=spans)
-    return counted.select(position, "place", "word", "num")
+    """Every word occurrence with its count so far, lines in order of the (integer, unique) position column.
+
+    Only texts are shuffled by slice. A word's occurrences in a slice of lines are then one row with their places, in
+    order; counts are carried over these rows, and they become rows of their own last.
+    """
+    lines_of_slice, slices_of_span = F.lit(lines_per_slice), F.lit(slices_per_span)
+    sliced = lines.select(F.col(position).alias("_at"), F.col(text).alias("_text")).withColumn(
+        "_slice", F.call_function("div", "_at", lines_of_slice).cast("bigint"))
+    # A position without a value is the only one of its slice.
+    line = F.coalesce(F.col("_at") - F.col("_slice") * lines_of_slice, F.lit(0)).cast("bigint")
+    texts = sliced.repartition("_slice").select("_slice", line.alias("line"), words("_text").alias("words"))
+    packed = texts.groupBy("_slice").applyInArrow(_places_of_words, PLACES)
+    span = F.call_function("div", "_slice", slices_of_span)
+    totals = sliced.select(span.alias("_span"), F.explode(words("_text")).alias("word")).groupBy("word", "_span").agg(
+        F.count(F.lit(1)).alias("_total"))
+    counted = sum_before(packed.withColumn("_total", F.size("places").cast("bigint")).withColumn("_span", span),
+                         totals, ["word"])
+    rows = counted.select("word", "_slice", "_amount", F.posexplode("places").alias("_nth", "_place"))
+    at = (F.col("_slice") * lines_of_slice + F.shiftright("_place", 32)).cast(lines.schema[position].dataType)
+    return rows.select(
+        at.alias(position), F.col("_place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"), "word",
+        (F.coalesce("_amount", F.lit(0)) + F.col("_nth") + 1).cast("bigint").alias("num"))
+
+
+# Places hold the line within the slice above the word's place within the line, 32 bits.
+PLACES = "_slice bigint, word string, places array<bigint>"
+
+
+def _places_of_words(texts: pa.Table) -> pa.Table:
+    """The words of a slice's lines, each with the places where it stands, in order."""
+    texts = texts.take(pc.sort_indices(texts["line"])).combine_chunks()
+    lists = texts["words"].combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    encoded = lists.flatten().dictionary_encode()
+    numbers = encoded.indices.to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths)
+    within = np.arange(len(numbers)) - np.repeat(ends - lengths, lengths)
+    places = np.repeat(texts["line"].to_numpy() << 32, lengths) + within
+    sizes = np.bincount(numbers, minlength=len(encoded.dictionary))
+    starts = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    by_word = pa.ListArray.from_arrays(starts, pa.array(places[np.argsort(numbers, kind="stable")], pa.int64()))
+    return pa.table({"_slice": pa.repeat(texts["_slice"][0], len(sizes)), "word": encoded.dictionary, "places": by_word})

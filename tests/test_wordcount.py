@@ -21,3 +21,27 @@ def test_running(spark, collected):
         got = collected(wordcount.wordcount_running(lines(spark), "n", lines_per_slice=width, slices_per_span=span))
         assert got == [(0, 0, "the", 1), (0, 1, "cat", 1), (0, 2, "the", 2), (0, 3, "cat", 2), (1, 0, "a_b", 1),
                        (1, 1, "ber", 1), (4, 0, "cat", 3)]
+
+
+def test_running_counts_of_scattered_lines(spark, collected):
+    """Any order of the rows, positions on both sides of zero, one of them missing."""
+    texts = [None if i % 11 == 0 else " ".join(f"w{(i * k) % 7}" for k in range(i % 9)) for i in range(60)]
+    stored = [(None if i == 59 else (i * 37) % 59 - 30, text) for i, text in enumerate(texts)]
+    so_far, want = {}, []
+    for position, text in sorted(stored, key=lambda line: (line[0] is not None, line[0])):
+        for place, word in enumerate((text or "").split()):
+            so_far[word] = so_far.get(word, 0) + 1
+            want.append((position, place, word, so_far[word]))
+    lines = spark.createDataFrame(stored, "n int, text string").repartition(5)
+    for width, span in ((1, 2), (4, 3), (100, 1)):
+        counted = wordcount.wordcount_running(lines, "n", lines_per_slice=width, slices_per_span=span)
+        assert counted.schema["n"].dataType == lines.schema["n"].dataType
+        assert sorted(map(str, map(tuple, counted.collect()))) == sorted(map(str, want))
+
+
+def test_occurrences_become_rows_after_the_shuffles(spark):
+    """One row per word and slice is shuffled and sorted, not one per occurrence."""
+    plan = wordcount.wordcount_running(lines(spark), "n")._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert min(i for i, line in enumerate(plan) if "posexplode(" in line) < min(
+        i for i, line in enumerate(plan) if "Exchange" in line or "Sort" in line)
+    assert sum("posexplode(" in line for line in plan) == 1
