@@ -109,14 +109,31 @@ def q5_counts(bid: DataFrame, *, size: str = "60 minutes", slide: str = "1 minut
 def q8(person: DataFrame, auction: DataFrame, *, size: str = "10 seconds") -> DataFrame:
     """Persons who appear and sell within the same window.
 
-    Both sides are reduced to one row per key and window before they meet.
+    In batch both sides are reduced to one row per key and window before they meet. On streams they are one aggregate
+    over both topics, so that a seller's window is kept once and not also as the state of a join.
     """
+    if person.isStreaming:
+        return _q8_stream(person, auction, size)
     persons = person.groupBy("id", "name", F.window(TIME, size).alias("w")).agg(F.count(F.lit(1)).alias("_n"))
     sellers = auction.groupBy("seller", F.window(TIME, size).alias("seller_w")).agg(F.count(F.lit(1)).alias("_m"))
     same = (F.col("id") == F.col("seller")) & (F.col("w") == F.col("seller_w"))
     return persons.join(sellers, same).select("id", "name", F.col("w.start").alias("stime"))
 
 
+def _q8_stream(person: DataFrame, auction: DataFrame, size: str) -> DataFrame:
+    kind = person.schema["id"].dataType
+    # A name may be null, its struct is not: sets leave nulls out.
+    persons = person.select("id", F.struct("name").alias("person"), F.lit(False).alias("sells"), TIME)
+    sellers = auction.select(
+        F.col("seller").alias("id"), F.lit(None).cast(persons.schema["person"].dataType).alias("person"),
+        F.lit(True).alias("sells"), TIME)
+    both = persons.unionByName(sellers).where(F.col("id").isNotNull())
+    met = both.groupBy("id", F.window(TIME, size).alias("w")).agg(
+        F.collect_set("person").alias("persons"), F.max("sells").alias("sells"))
+    named = met.where("sells").select("id", "w", F.explode("persons").alias("person"))
+    return named.select(F.col("id").cast(kind).alias("id"), "person.name", F.col("w.start").alias("stime"))
+
+
 def q8_pairs(person: DataFrame, auction: DataFrame, *, size: str = "10 seconds", hot: Sequence | None = None) -> DataFrame:
     """Every pair of a person and an auction of theirs within the same window."""
     persons = person.select("id", "name", F.window(TIME, size).alias("w"))

@@ -41,8 +41,12 @@ def build_session(app: str = "sluice", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-def stream_session(spark: SparkSession) -> SparkSession:
-    """A sibling session carrying the streaming settings; the caller's own session is left as it is."""
+def stream_session(spark: SparkSession, *, count_state: bool = True) -> SparkSession:
+    """A sibling session carrying the streaming settings; the caller's own session is left as it is.
+
+    Without ``count_state`` progress updates do not tell the rows of state (``numRowsTotal``), which cost a read of the
+    state store before every write.
+    """
     sibling = spark.newSession()
     local = spark.sparkContext.master.startswith("local")
     # The number of state partitions is fixed when a query first starts.
@@ -50,6 +54,7 @@ def stream_session(spark: SparkSession) -> SparkSession:
     sibling.conf.set("spark.sql.shuffle.partitions", partitions)
     for key, value in STREAM_CONF.items():
         sibling.conf.set(key, value)
+    sibling.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", str(count_state).lower())
     return sibling
 
 

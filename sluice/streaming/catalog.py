@@ -33,7 +33,7 @@ def stream_query(run):
 
     def execute(spark: SparkSession, folder: str) -> DataFrame:
         out = shared_folder(spark, run.__name__)
-        result = jobs.zoneless(run(stream_session(spark), folder, out))
+        result = jobs.zoneless(run(stream_session(spark, count_state=False), folder, out))
         jobs.run_available(result, out)
         return jobs.written(spark, out, result.schema)
 

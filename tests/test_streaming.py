@@ -496,3 +496,29 @@ def test_many_keys_share_few_state_keys(spark, folder, collected):
     assert 0 < max(op.numRowsTotal for p in seen for op in p.stateOperators) <= buckets * 2 * 16
     got = jobs.written(spark, f"{folder}/counts", counts.schema).groupBy("bidder").agg(F.sort_array(F.collect_list("num")).alias("n")).collect()
     assert len(got) == 700 and all(r.n == list(range(1, len(r.n) + 1)) for r in got) and sum(len(r.n) for r in got) == 3000
+
+
+def test_sellers_windows_are_kept_once(spark, folder, collected):
+    """Persons with several names or none in a window, at times without an id; one aggregate and no join keeps them."""
+    people, items = Topic(spark, folder, "person"), Topic(spark, folder, "auction")
+    people.add([person(1, 1, name="a"), person(1, 2, name="b"), person(1, 3, name="a"), person(2, 4, name=None),
+                person(None, 5, name="n"), person(3, 6)])
+    items.add([item(1, 1, 9), item(2, 1, 8), item(3, 2, 1), item(4, None, 2), item(5, 3, 12), item(6, 4, 3)])
+    people.add([person(3, 25, name="c"), person(1, 26, name="b")])
+    items.add([item(7, 3, 21), item(8, 1, 39)])
+    people.add([person(-1, SENTINEL)])
+    items.add([item(-1, -1, SENTINEL)])
+    want = auctions.q8(people.batch(), items.batch()).where("id >= 0").collect()
+    out = f"{folder}/out"
+    df = auctions.q8(people.stream(), items.stream())
+    seen = jobs.run_available(df, out)
+    got = jobs.zoneless(jobs.written(df.sparkSession, out, df.schema)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want))) and len(got) == 4
+    assert {op.operatorName for p in seen for op in p.stateOperators} == {"stateStoreSave"}
+    assert all(len(p.stateOperators) == 1 for p in seen)
+
+
+def test_registered_streams_write_state_without_counting_it(spark):
+    setting = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
+    assert stream_session(spark).conf.get(setting) == "true"
+    assert stream_session(spark, count_state=False).conf.get(setting) == "false"
