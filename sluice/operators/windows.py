@@ -27,8 +27,7 @@ def hop_counts(df: DataFrame, keys: list[str], time: str, size: str, slide: str)
     if duration(size) <= duration(slide):
         return df.groupBy(F.window(time, size, slide).alias("w"), *keys).agg(F.count(F.lit(1)).alias("num"))
     whole = [int(duration(x).total_seconds() * 1_000_000) for x in (size, slide)]
-    pane = gcd(*whole)
-    panes = df.groupBy(F.window(time, f"{pane} microseconds").alias("pane"), *keys).agg(F.count(F.lit(1)).alias("num"))
+    panes = pane_counts(df, keys, time, size, slide)
     if df.isStreaming:  # only Spark's own window carries the watermark on
         hops = panes.select(F.window("pane", size, slide).alias("w"), *keys, "num")
     elif whole[0] % whole[1]:  # which windows hold a pane depends on where it lies
@@ -41,6 +40,12 @@ def hop_counts(df: DataFrame, keys: list[str], time: str, size: str, slide: str)
     return hops.groupBy("w", *keys).agg(F.sum("num").alias("num"))
 
 
+def pane_counts(df: DataFrame, keys: list[str], time: str, size: str, slide: str) -> DataFrame:
+    """Rows per key and ``pane``, the widest that both size and slide are made of."""
+    pane = gcd(*[int(duration(x).total_seconds() * 1_000_000) for x in (size, slide)])
+    return df.groupBy(F.window(time, f"{pane} microseconds").alias("pane"), *keys).agg(F.count(F.lit(1)).alias("num"))
+
+
 def session_counts(df: DataFrame, keys: list[str], time: str, gap: str) -> DataFrame:
     """Rows per key and session as ``starttime``, ``endtime`` (last row plus gap) and ``num``.
 

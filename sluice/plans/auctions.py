@@ -8,6 +8,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timing import duration
 from ..operators.emit_once import emit_once, salts_of, seller_salts
 from ..operators.windows import early_firings, hop_counts, peak_rows, session_counts
 from ..schemas import TIME, result_schema
@@ -101,8 +102,12 @@ def q5(bid: DataFrame, *, size: str = "10 seconds", slide: str = "2 seconds") ->
 
 def q5_counts(bid: DataFrame, *, size: str = "60 minutes", slide: str = "1 minute",
               key_type: str = "bigint") -> DataFrame:
-    """Bids per auction and hopping window."""
+    """Bids per auction and hopping window. On streams windows that overlap are added up from closed panes."""
     keyed = bid.select(F.col("auction").cast(key_type).alias("auction"), TIME)
+    if bid.isStreaming and duration(size) > duration(slide):
+        from ..streaming.hops import hop_totals_stream  # that package imports this module
+
+        return hop_totals_stream(keyed, "auction", TIME, size, slide)
     return hop_counts(keyed, ["auction"], TIME, size, slide).select("auction", "num")
 
 

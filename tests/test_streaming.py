@@ -522,3 +522,25 @@ def test_registered_streams_write_state_without_counting_it(spark):
     setting = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
     assert stream_session(spark).conf.get(setting) == "true"
     assert stream_session(spark, count_state=False).conf.get(setting) == "false"
+
+
+def test_overlapping_windows_are_added_up_from_closed_panes(spark, folder, collected):
+    """Windows of any slide, bids without an auction, quiet stretches; state is a row per bucket, not one per window."""
+    rng = np.random.default_rng(3)
+    topic = Topic(spark, folder, "bid")
+    for part in range(4):
+        seconds = np.sort(rng.choice(np.arange(0, 9_000, 10), 150, replace=False)) / 100 + part * 170
+        topic.add([bid(None if a == 0 else int(a), 1, s) for a, s in zip(rng.integers(0, 40, 150), seconds)])
+    topic.add([bid(-1, 0, SENTINEL)])
+    shown = lambda rows: sorted(map(str, map(tuple, rows)))
+    for size, slide, kind in (("20 seconds", "1 second", "bigint"), ("70 seconds", "30 seconds", "string")):
+        plan = lambda rows: auctions.q5_counts(rows, size=size, slide=slide, key_type=kind)  # noqa: E731, B023
+        want = plan(topic.batch().where("auction > 0 OR auction IS NULL")).collect()
+        df, out = plan(topic.stream()), f"{folder}/{kind}"
+        seen = jobs.run_available(df, out)
+        assert shown(jobs.written(df.sparkSession, out, df.schema).collect()) == shown(want)
+        buckets = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        panes = {p.batchId: min(op.numRowsUpdated for op in p.stateOperators) for p in seen}
+        assert max(panes.values()) <= buckets
+        names = {op.operatorName for p in seen for op in p.stateOperators}
+        assert names == {"transformWithStateInPandasExec", "stateStoreSave"}
